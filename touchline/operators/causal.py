@@ -41,6 +41,35 @@ def season_moments(matches: DataFrame) -> DataFrame:
     return index.join(home, ["league", "season_idx"]).join(team, ["league", "season_idx"])
 
 
+def _through(matches: DataFrame) -> DataFrame:
+    """Season moments summed over all seasons up to and including each one."""
+    upto = W.partitionBy("league").orderBy("season_idx").rowsBetween(W.unboundedPreceding, 0)
+    sums = ["home_score", "n_home", "new_score", "n_new", "n_pair", "sx", "sy", "sxx", "sxy"]
+    return season_moments(matches).withColumns({c: F.sum(c).over(upto) for c in sums})
+
+
+def home_advantage_through(matches: DataFrame) -> DataFrame:
+    """Home advantage estimated through each season."""
+    return _through(matches).select(
+        "league", "season", gap_from_score(F.col("home_score") / F.col("n_home")).alias("home_advantage"))
+
+
+def promoted_prior_through(matches: DataFrame) -> DataFrame:
+    """Newcomer rating offset through each season; no row before the first newcomer."""
+    return _through(matches).where("n_new > 0").select(
+        "league", "season", F.col("n_new").alias("n_newcomers"),
+        gap_from_score(F.col("new_score") / F.col("n_new")).alias("promoted_delta"))
+
+
+def season_shrink_through(matches: DataFrame) -> DataFrame:
+    """Slope of next on previous points per game through each season."""
+    n = F.col("n_pair")
+    var_x = F.col("sxx") - F.col("sx") * F.col("sx") / n
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    return _through(matches).where("n_pair > 0").select(
+        "league", "season", n.alias("n_pairs"), F.when(var_x > 1e-12, cov / var_x).alias("season_shrink"))
+
+
 def parameter_schedule(
     matches: DataFrame,
     *,

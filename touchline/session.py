@@ -25,6 +25,7 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         )
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
