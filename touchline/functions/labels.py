@@ -26,10 +26,11 @@ def season_years(label: Column) -> Column:
 
 
 def parse_raw_date(raw: Column) -> Column:
-    """Day-first dates with a 2- or 4-digit year, chosen row by row."""
-    return F.coalesce(
-        F.try_to_date(raw, "d/M/yyyy"), F.try_to_date(raw, "d/M/yy")
-    )
+    """Day-first dates with a 2- or 4-digit year, chosen row by row.
+    Two-digit years from 69 on belong to the 1900s."""
+    short = F.try_to_date(raw, "d/M/yy")
+    short = F.when(F.year(short) >= 2069, F.add_months(short, -1200)).otherwise(short)
+    return F.coalesce(F.try_to_date(raw, "d/M/yyyy"), short)
 
 
 def config_id(model: Column, params: Column) -> Column:

@@ -11,6 +11,7 @@ from touchline.operators.causal import parameter_schedule
 from touchline.operators.elo import ratings
 from touchline.operators.form import EWMA_NAMES, matchups, team_days, team_state
 from touchline.operators.seasons import season_index, target, with_season_index
+from touchline.session import written
 
 SIDE_COLUMNS = (
     ["matches_played_season", "prior_matches_all_time", "rest_days", "is_returning", "elo"]
@@ -56,7 +57,8 @@ def build_features(
     m = with_season_index(matches, season_index(matches))
     state = team_state(team_days(m, halflife, window), halflife=halflife, min_periods=min_periods,
                        window=window, rest_cap=rest_cap)
-    elo = ratings(matches, schedule)
+    # Both sides need the ratings, and a lost executor must not repeat a league's pass.
+    elo = written(ratings(matches, schedule), "ratings")
     state = state.join(elo, ["league", "season_idx", "match_date", "team"])
     rows = m.select("match_id", "league", "season", "season_idx", "match_date", "home", "away", "ftr")
     wide = matchups(attach_sides(rows, state, SIDE_COLUMNS))

@@ -158,8 +158,8 @@ schedule AS MATERIALIZED (
 # The full feature table: team form and ratings joined to both sides.
 FEATURES = elo(SCHEDULE + "," + FORM[len(TEAM_SEASONS) + 1:]) + f""",
 side_state AS MATERIALIZED (
-  SELECT DISTINCT f.league, f.match_date, f.team, e.elo, {FORM_COLUMNS}
-  FROM form f JOIN rating e ON e.league = f.league AND e.match_date = f.match_date AND e.team = f.team),
+  SELECT DISTINCT league, match_date, team, elo, {FORM_COLUMNS}
+  FROM form JOIN rating USING (league, match_date, team)),
 features AS MATERIALIZED (
   SELECT m.match_id, m.league, m.season, m.season_idx, m.match_date, m.home, m.away, m.ftr, m.fthg, m.ftag,
     CASE m.ftr WHEN 'H' THEN 0 WHEN 'D' THEN 1 ELSE 2 END target,
