@@ -265,74 +265,97 @@ def unfitted_teams(fixtures: DataFrame, fits: DataFrame, by: list[str]) -> DataF
     return teams.join(fits.select(*by, "team").distinct(), [*by, "team"], "left_anti")
 
 
-def score_fixtures(rated: DataFrame, top_n: int = P.TOP_SCORELINES, strict: bool = False) -> DataFrame:
-    """Outcome probabilities, expected goals and top scorelines of every row
-    with ``rate_home``, ``rate_away`` and ``rho``.
+def with_marginals(rated: DataFrame, strict: bool = False) -> DataFrame:
+    """Low-score factors, goal marginals and grid cap of every fixture.
 
-    Everything stays inside the row: no grid rows are shuffled. ``problem``
-    names an infeasible correction or a rate too large for the widest grid.
+    ``problem`` names an infeasible factor or rates too large for the widest
+    grid; nothing is floored or clipped. ``strict`` fails the job instead.
     """
     c = F.col
-    lh, la, rho = c("rate_home"), c("rate_away"), F.coalesce(c("rho"), F.lit(0.0))
-    tau = {k: c(k) for k in ("tau00", "tau01", "tau10", "tau11")}
+    lh, la = c("rate_home"), c("rate_away")
     out = rated.withColumns(P.taus(lh, la, c("rho")))
-    worst = F.least(*tau.values())
-    out = out.withColumns({"_ph": P.poisson_pmf(lh), "_pa": P.poisson_pmf(la)})
-    out = out.withColumn("cap", P.cap_for(c("_ph"), c("_pa")))
+    out = out.withColumns({"_ph": P.poisson_pmf(lh), "_pa": P.poisson_pmf(la)}).withColumn("cap", P.cap_for(c("_ph"), c("_pa")))
+    inf = float("inf")
     out = out.withColumn(
         "problem",
-        F.when(~((lh > 0) & (la > 0) & (lh < float("inf")) & (la < float("inf"))), "rate not finite and positive")
-        .when(worst < P.TAU_FLOOR, "infeasible low-score correction")
+        F.when(~F.coalesce((lh > 0) & (la > 0) & (lh < inf) & (la < inf), F.lit(False)), "rate not finite and positive")
+        .when(F.least("tau00", "tau01", "tau10", "tau11") < P.TAU_FLOOR, "infeasible low-score correction")
         .when(c("cap").isNull(), "grid too small for the rates"),
     )
     if strict:
-        out = out.withColumn("problem", F.when(c("problem").isNotNull(), F.raise_error(c("problem"))))
+        out = out.withColumn("problem", F.when(c("problem").isNotNull(), F.raise_error(c("problem")).cast("string")))
+    return out
+
+
+def _cells(marginals: DataFrame, columns: list[str]) -> DataFrame:
+    """One row per cell of every sound fixture's grid, not yet normalised."""
+    size = F.col("cap") + 1
+    each = marginals.where("problem is null").withColumn("_i", F.explode(F.sequence(F.lit(0), size * size - 1)))
+    h, a = F.floor(F.col("_i") / size).cast("int"), (F.col("_i") % size).cast("int")
+    p = F.get("_ph", h) * F.get("_pa", a) * P.correction(h, a)
+    return each.select(*columns, h.alias("h"), a.alias("a"), p.alias("p"))
+
+
+def _top_cells(rate_home, rate_away, n: int):
+    """The best ``n`` cells, ties by home then away goals.
+
+    Poisson masses fall away on both sides of floor(rate), so a side's best
+    ``n + 2`` goal counts lie within ``n + 2`` of it. A cell outside that range
+    is beaten in its own row or column by at least ``n`` cells without a
+    low-score factor; the four cells that have one are always looked at.
+    """
+    c = F.col
+    span = lambda rate: F.sequence(
+        F.greatest(F.lit(0), (F.floor(rate) - n - 2).cast("int")), F.least(c("cap"), (F.floor(rate) + n + 2).cast("int")))
+    cell = lambda h, a: F.struct(
+        (-F.get(c("_ph"), h) * F.get(c("_pa"), a) * P.correction(h, a)).alias("np"), h.alias("h"), a.alias("a"))
+    central = F.flatten(F.transform(span(rate_home), lambda h: F.transform(span(rate_away), lambda a: cell(h, a))))
+    corner = F.array(*[cell(F.lit(h), F.lit(a)) for h in (0, 1) for a in (0, 1)])
+    return F.slice(F.sort_array(F.array_union(central, corner)), 1, n)
+
+
+def score_fixtures(rated: DataFrame, top_n: int = P.TOP_SCORELINES, strict: bool = False) -> DataFrame:
+    """Outcome probabilities, expected goals and top scorelines of every row
+    with ``rate_home``, ``rate_away`` and ``rho``.
+
+    The matrix is a product of two marginals but for four cells, so its sums
+    follow from one pass over the marginals. Nothing leaves the row.
+    """
+    c = F.col
+    out = with_marginals(rated, strict)
     size = F.when(c("problem").isNull(), c("cap") + 1)
     out = out.withColumns({"_ph": F.slice("_ph", 1, size), "_pa": F.slice("_pa", 1, size)})
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    # Running sum of (lower home goals' mass) x (this away mass), and diagonal.
-    below = F.aggregate(
-        F.arrays_zip(c("_ph").alias("h"), c("_pa").alias("a")),
-        F.struct(F.lit(0.0).alias("ch"), F.lit(0.0).alias("ca"), F.lit(0.0).alias("home"), F.lit(0.0).alias("draw"), F.lit(0.0).alias("away")),
+    start = F.struct(*[F.lit(0.0).alias(k) for k in ("ch", "ca", "home", "draw", "away", "eh", "ea")], F.lit(0).alias("k"))
+    sums = F.aggregate(
+        F.arrays_zip(c("_ph").alias("h"), c("_pa").alias("a")), start,
         lambda s, x: F.struct(
             (s["ch"] + x["h"]).alias("ch"), (s["ca"] + x["a"]).alias("ca"),
             (s["home"] + x["h"] * s["ca"]).alias("home"), (s["draw"] + x["h"] * x["a"]).alias("draw"),
-            (s["away"] + x["a"] * s["ch"]).alias("away")),
+            (s["away"] + x["a"] * s["ch"]).alias("away"),
+            (s["eh"] + x["h"] * s["k"]).alias("eh"), (s["ea"] + x["a"] * s["k"]).alias("ea"), (s["k"] + 1).alias("k")),
     )
-    out = out.withColumn("_m", below).withColumn("_z", c("_m.ch") * c("_m.ca"))
-    p00 = F.get(c("_ph"), F.lit(0)) * F.get(c("_pa"), F.lit(0))
-    p01, p10 = F.get(c("_ph"), F.lit(0)) * F.get(c("_pa"), F.lit(1)), F.get(c("_ph"), F.lit(1)) * F.get(c("_pa"), F.lit(0))
-    p11 = F.get(c("_ph"), F.lit(1)) * F.get(c("_pa"), F.lit(1))
-    mean = lambda a: total(F.transform(a, lambda x, i: x * i))
-    best = F.slice(F.array_sort(F.transform(
-        P.cells(c("_ph"), c("_pa"), tau),
-        lambda x: F.struct((-x["p"]).alias("np"), x["h"].alias("h"), x["a"].alias("a")))), 1, top_n)
-    out = out.withColumns({
-        "p_home": (c("_m.home") + p10 * (c("tau10") - 1)) / c("_z"),
-        "p_draw": (c("_m.draw") + p00 * (c("tau00") - 1) + p11 * (c("tau11") - 1)) / c("_z"),
-        "p_away": (c("_m.away") + p01 * (c("tau01") - 1)) / c("_z"),
-        "expected_home_goals": mean(c("_ph")) / c("_m.ch"),
-        "expected_away_goals": mean(c("_pa")) / c("_m.ca"),
-        "top_scorelines": F.transform(best, lambda x: F.struct(
-            F.concat(x["h"].cast("string"), F.lit("-"), x["a"].cast("string")).alias("score"),
-            (-x["np"] / c("_z")).alias("p"))),
-    })
-    out = out.withColumn("most_likely_scoreline", F.get(c("top_scorelines"), F.lit(0))["score"])
-    return out.drop("_ph", "_pa", "_m", "_z")
+    at = lambda h, a: F.get("_ph", F.lit(h)) * F.get("_pa", F.lit(a))
+    out = out.withColumns({"_m": sums, "_top": _top_cells(c("rate_home"), c("rate_away"), top_n)})
+    out = out.withColumn("_z", c("_m.ch") * c("_m.ca"))
+    return out.withColumns({
+        "p_home": (c("_m.home") + at(1, 0) * (c("tau10") - 1)) / c("_z"),
+        "p_draw": (c("_m.draw") + at(0, 0) * (c("tau00") - 1) + at(1, 1) * (c("tau11") - 1)) / c("_z"),
+        "p_away": (c("_m.away") + at(0, 1) * (c("tau01") - 1)) / c("_z"),
+        "expected_home_goals": c("_m.eh") / c("_m.ch"),
+        "expected_away_goals": c("_m.ea") / c("_m.ca"),
+        "top_scorelines": F.transform("_top", lambda x: F.struct(
+            F.concat(x["h"].cast("string"), F.lit("-"), x["a"].cast("string")).alias("score"), (-x["np"] / c("_z")).alias("p"))),
+        "most_likely_scoreline": F.concat(c("_top")[0]["h"].cast("string"), F.lit("-"), c("_top")[0]["a"].cast("string")),
+    }).drop("_ph", "_pa", "_m", "_z", "_top", "tau00", "tau01", "tau10", "tau11")
 
 
 def score_grid(rated: DataFrame, key: list[str]) -> DataFrame:
     """The normalised scoreline distribution as (home goals, away goals, p) rows."""
-    c = F.col
-    tau = P.taus(c("rate_home"), c("rate_away"), c("rho"))
-    wide = rated.withColumns({"_ph": P.poisson_pmf(c("rate_home")), "_pa": P.poisson_pmf(c("rate_away"))})
-    wide = wide.withColumn("_cap", P.cap_for(c("_ph"), c("_pa"))).where("_cap is not null")
-    size = c("_cap") + 1
-    wide = wide.withColumns({"_ph": F.slice("_ph", 1, size), "_pa": F.slice("_pa", 1, size)})
     total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
-    wide = wide.withColumn("_z", total(c("_ph")) * total(c("_pa")))
-    return wide.select(*key, "_z", F.inline(P.cells(c("_ph"), c("_pa"), tau))).select(
-        *key, c("h").alias("home_goals"), c("a").alias("away_goals"), (c("p") / c("_z")).alias("p"))
+    size = F.col("cap") + 1
+    marginals = with_marginals(rated).withColumn("_z", total(F.slice("_ph", 1, size)) * total(F.slice("_pa", 1, size)))
+    return _cells(marginals, [*key, "_z"]).select(
+        *key, F.col("h").alias("home_goals"), F.col("a").alias("away_goals"), (F.col("p") / F.col("_z")).alias("p"))
 
 
 def out_of_fold(matches: DataFrame, fits: DataFrame, offsets: DataFrame, folds: list[Fold]) -> DataFrame:
@@ -344,7 +367,8 @@ def out_of_fold(matches: DataFrame, fits: DataFrame, offsets: DataFrame, folds:
     fold_of = F.create_map(*[x for n, _, v in folds for x in (F.lit(v), F.lit(n))])
     rows = matches.withColumn("fold", fold_of[F.col("season")]).where("fold is not null")
     pairs = rows.select("league", "fold", "home", "away").distinct()
-    scored = score_fixtures(attach_strengths(pairs, fits, offsets, ["league", "fold"])).select(
+    rated = attach_strengths(pairs, fits, offsets, ["league", "fold"])
+    scored = score_fixtures(rated).select(
         "league", "fold", "home", "away", "config_id", "p_home", "p_draw", "p_away",
         "expected_home_goals", "expected_away_goals", "most_likely_scoreline", "problem")
     return rows.select("match_id", "league", "season", "match_date", "home", "away", "fold", "ftr").join(
