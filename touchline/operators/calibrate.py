@@ -110,8 +110,8 @@ def _newton(train: DataFrame, start: float, bounds: tuple[float, float], moments
     bracket = {f: list(bounds) for f in folds}
     active = set(folds)
     for _ in range(max_passes):
-        slope, curvature = moments(_per_fold(value))
-        got = train.groupBy("meta_fold").agg(F.avg(slope).alias("g"), F.avg(curvature).alias("h")).collect()
+        rows, slope, curvature = moments(_per_fold(value))
+        got = rows.groupBy("meta_fold").agg(F.avg(slope).alias("g"), F.avg(curvature).alias("h")).collect()
         for row in got:
             f = row["meta_fold"]
             if f not in active:
@@ -143,11 +143,7 @@ def fit_temperature(train: DataFrame) -> dict[int, float]:
     """Temperature per meta-fold. Convex in 1/T, so Newton on 1/T; a result worse
     than T = 1 is an error."""
     def moments(beta: Column):
-        z = [F.log(F.greatest(F.col(c), F.lit(LOG_FLOOR))) for c in TRIO]
-        q = temperature_scale(TRIO, 1.0 / beta)
-        mean = q[0] * z[0] + q[1] * z[1] + q[2] * z[2]
-        second = q[0] * z[0] * z[0] + q[1] * z[1] * z[1] + q[2] * z[2] * z[2]
-        return mean - _pick(z), second - mean * mean
+        return _with_scaled(train, beta), F.col("_mean") - F.col("_zy"), F.col("_spread")
 
     beta = _newton(train, 1.0, (1.0 / T_BOUNDS[1], 1.0 / T_BOUNDS[0]), moments)
     fitted = {f: 1.0 / b for f, b in beta.items()}
@@ -166,7 +162,7 @@ def fit_weight(train: DataFrame) -> dict[int, float]:
     def moments(w: Column):
         m = F.greatest(_pick(convex_pool(a, b, w)), F.lit(LOG_FLOOR))
         d = (_pick(a) - _pick(b)) / m
-        return -d, d * d
+        return train, -d, d * d
 
     inner = _newton(train, 0.5, (0.0, 1.0), moments)
     options = [dict.fromkeys(inner, 0.0), dict.fromkeys(inner, 1.0), inner]
@@ -178,21 +174,34 @@ def fit_weight(train: DataFrame) -> dict[int, float]:
     return best
 
 
-def _joint_moments(beta: Column, w: Column) -> dict[str, Column]:
-    """Loss and its derivatives by (1 / T, w) for one row."""
-    z = [F.log(F.greatest(F.col(c), F.lit(LOG_FLOOR))) for c in TRIO]
-    q = temperature_scale(TRIO, 1.0 / beta)
-    mean = q[0] * z[0] + q[1] * z[1] + q[2] * z[2]
-    spread = q[0] * z[0] * z[0] + q[1] * z[1] * z[1] + q[2] * z[2] * z[2] - mean * mean
-    qy, zy, d = _pick(q), _pick(z), _pick([F.col(c) for c in DC])
-    m = F.greatest(w * qy + (1.0 - w) * d, F.lit(LOG_FLOOR))
-    q1 = qy * (zy - mean)
-    q2 = qy * ((zy - mean) * (zy - mean) - spread)
-    gap = qy - d
-    return {
-        "loss": -F.log(m), "gb": -w * q1 / m, "gw": -gap / m, "hbb": -w * q2 / m + (w * q1 / m) * (w * q1 / m),
-        "hww": (gap / m) * (gap / m), "hbw": -q1 / m + w * q1 * gap / (m * m),
-    }
+def _with_scaled(train: DataFrame, beta: Column) -> DataFrame:
+    """Scaled probabilities with their log-score mean and spread, in named steps
+    so that shared terms are computed once per row."""
+    c = F.col
+    out = train.withColumns({"_b": beta, **{f"_z{i}": F.log(F.greatest(c(p), F.lit(LOG_FLOOR))) for i, p in enumerate(TRIO)}})
+    out = out.withColumn("_top", F.greatest("_z0", "_z1", "_z2"))
+    out = out.withColumns({f"_e{i}": F.exp((c(f"_z{i}") - c("_top")) * c("_b")) for i in range(3)})
+    out = out.withColumn("_s", c("_e0") + c("_e1") + c("_e2"))
+    moment = lambda k: sum((c(f"_e{i}") * c(f"_z{i}") ** k for i in range(1, 3)), c("_e0") * c("_z0") ** k) / c("_s")
+    return out.withColumns({
+        "_mean": moment(1), "_second": moment(2), "_zy": _pick([c(f"_z{i}") for i in range(3)]),
+        "_qy": _pick([c(f"_e{i}") for i in range(3)]) / c("_s"), "_dy": _pick([c(x) for x in DC]),
+    }).withColumn("_spread", c("_second") - c("_mean") * c("_mean"))
+
+
+def _joint_moments(train: DataFrame, beta: Column, weight: Column) -> DataFrame:
+    """Mean loss and its derivatives by (1 / T, w) per meta-fold."""
+    c = F.col
+    rows = _with_scaled(train, beta).withColumns({"_w": weight, "_u": c("_zy") - c("_mean"), "_gap": c("_qy") - c("_dy")})
+    rows = rows.withColumns({
+        "_m": F.greatest(c("_w") * c("_qy") + (1.0 - c("_w")) * c("_dy"), F.lit(LOG_FLOOR)), "_q1": c("_qy") * c("_u"),
+        "_q2": c("_qy") * (c("_u") * c("_u") - c("_spread")),
+    }).withColumns({"_rb": c("_w") * c("_q1") / c("_m"), "_rw": c("_gap") / c("_m")})
+    return rows.groupBy("meta_fold").agg(
+        F.avg(-F.log("_m")).alias("loss"), F.avg(-c("_rb")).alias("gb"), F.avg(-c("_rw")).alias("gw"),
+        F.avg(c("_rb") * c("_rb") - c("_w") * c("_q2") / c("_m")).alias("hbb"),
+        F.avg(c("_rw") * c("_rw")).alias("hww"),
+        F.avg(c("_rb") * c("_rw") - c("_q1") / c("_m")).alias("hbw"))
 
 
 def fit_joint(train: DataFrame, max_passes: int = 60) -> dict[int, tuple[float, float]]:
@@ -209,8 +218,7 @@ def fit_joint(train: DataFrame, max_passes: int = 60) -> dict[int, tuple[float,
     damping = dict.fromkeys(folds, 1e-6)
     active = set(folds)
     for _ in range(max_passes):
-        moments = _joint_moments(_per_fold({f: p[0] for f, p in trial.items()}), _per_fold({f: p[1] for f, p in trial.items()}))
-        got = train.groupBy("meta_fold").agg(*[F.avg(c).alias(k) for k, c in moments.items()]).collect()
+        got = _joint_moments(train, _per_fold({f: p[0] for f, p in trial.items()}), _per_fold({f: p[1] for f, p in trial.items()})).collect()
         for row in got:
             f = row["meta_fold"]
             if f not in active:
