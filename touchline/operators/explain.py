@@ -63,7 +63,9 @@ def explain_linear(df: DataFrame, model: LinearModel) -> DataFrame:
             if c in flag_at:
                 i = flag_at[c]
                 at_reference += model.coefficients[j][i] * (0.0 - model.means[i]) / model.scales[i]
-            shifted[f"_cf_{k}_{j}"] = logits[j] - F.col(f"_grp_{k}_{j}") + at_reference
+            # A feature already at the reference value changes nothing, not even a last bit.
+            shifted[f"_cf_{k}_{j}"] = F.when(F.col(c) == REFERENCE_VALUE, logits[j]).otherwise(
+                logits[j] - F.col(f"_grp_{k}_{j}") + at_reference)
     out = out.withColumns(shifted)
     out = out.withColumns({
         f"_sens_{k}_{j}": F.col(evaluate.PROBABILITIES[j]) - p

@@ -29,7 +29,7 @@ def feature_table(spark, sf):
 # A frozen model on three form differences. Two columns had nulls in training.
 FORM_COLUMNS = ["diff_std_gd", "diff_ewma_ppg", "diff_ewma_sot_diff"]
 FROZEN = LinearModel(
-    FORM_COLUMNS, [0.0, 0.01, -0.02], ["diff_std_gd", "diff_ewma_ppg"], [0.0, 0.0, 0.0, 0.1, 0.15], [1.2, 0.5, 1.1, 0.3, 0.35],
+    FORM_COLUMNS, [0.0, 0.01, -0.02], ["diff_std_gd", "diff_ewma_ppg"], [0.0, 0.0, 0.0, 0.1, 0.15], [1.2173, 0.5119, 1.1071, 0.3037, 0.3571],
     [[0.21, 0.35, 0.12, -0.05, 0.04], [-0.02, -0.03, 0.01, 0.02, -0.01], [-0.19, -0.32, -0.13, 0.03, -0.03]], [0.25, -0.1, -0.15])
 
 
@@ -81,7 +81,8 @@ def _contribution_sql():
         parts.append(f"SELECT match_id, top, p0, p1, p2, {', '.join(cols)} FROM p")
     return FROZEN_SQL + ", con0 AS (" + " UNION ALL ".join(parts) + """),
 con AS MATERIALIZED (SELECT *, v0 + m0 g0, v1 + m1 g1, v2 + m2 g2,
-  p0 - exp(c0) / (exp(c0) + exp(c1) + exp(c2)) s0, p1 - exp(c1) / (exp(c0) + exp(c1) + exp(c2)) s1, p2 - exp(c2) / (exp(c0) + exp(c1) + exp(c2)) s2 FROM con0)"""
+  CASE WHEN raw = 0 THEN 0 ELSE p0 - exp(c0) / (exp(c0) + exp(c1) + exp(c2)) END s0, CASE WHEN raw = 0 THEN 0 ELSE p1 - exp(c1) / (exp(c0) + exp(c1) + exp(c2)) END s1,
+  CASE WHEN raw = 0 THEN 0 ELSE p2 - exp(c2) / (exp(c0) + exp(c1) + exp(c2)) END s2 FROM con0)"""
 
 
 CONTRIBUTIONS = _contribution_sql()
