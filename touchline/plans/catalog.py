@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from touchline.plans import calibration, evaluation, goals, models, quality, ratings, text  # noqa: F401
+from touchline.plans import calibration, evaluation, goals, live, models, quality, ratings, text  # noqa: F401
 from touchline.plans.registry import ORACLES, QUERIES  # noqa: F401
