@@ -180,7 +180,7 @@ def as_of(reads: DataFrame, snapshots: DataFrame, key: str, at: str, value: list
     snapshot, and one row per (key, bucket) carries the last one of earlier
     buckets forward. A hot key thus spreads over its buckets.
     """
-    bucket = F.floor(F.unix_micros(at) / (bucket_seconds * 1_000_000))
+    bucket = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (bucket_seconds * 1_000_000))
     snap = F.struct(F.col(at).alias("snapshot_at"), *value)
     s = snapshots.select(key, at, F.lit(0).alias("_is_read"), F.lit(None).cast("long").alias("read_id"), snap.alias("_snap"))
     r = reads.select(key, at, F.lit(1).alias("_is_read"), F.col("read_id").cast("long").alias("read_id"), F.lit(None).cast(s.schema["_snap"].dataType).alias("_snap"))
