@@ -92,12 +92,14 @@ def test_identities(spark):
     assert tuple(row)[:3] == pytest.approx(tuple(row)[3:])
 
 
-def test_incumbent_stays_without_clear_gain(spark):
-    train, *_ = meta(spark, 80)
+@pytest.mark.parametrize("temperature,selected", [(0.7, "raw_trio"), (2.0, "temperature_trio")])
+def test_incumbent_rule(spark, temperature, selected):
+    """The incumbent is too sharp by construction, so only a larger T replaces it."""
+    train, *_ = meta(spark, 300)
     rows = train.withColumns({"match_id": F.monotonically_increasing_id()})
-    same = calibrate.apply_candidates(rows, {"raw_trio": {1: (1.0, 1.0)}, "temperature_trio": {1: (1.0 + 1e-9, 1.0)}})
-    verdict = calibrate.incumbent_verdicts(same, ["match_id", "fold"]).first()
-    assert verdict["selected"] == "raw_trio" and not verdict["passes"]
+    scored = calibrate.apply_candidates(rows, {"raw_trio": {1: (1.0, 1.0)}, "temperature_trio": {1: (temperature, 1.0)}})
+    verdict = calibrate.incumbent_verdicts(scored, ["match_id", "fold"]).first()
+    assert verdict["selected"] == selected and verdict["passes"] == (selected != "raw_trio")
 
 
 def test_exact_medians(spark):

@@ -132,7 +132,7 @@ def ratings(matches: DataFrame, schedule: DataFrame) -> DataFrame:
     return ordered.groupBy("league").applyInArrow(_rating_pass, RATING_SCHEMA)
 
 
-def ratings_by_rounds(matches: DataFrame, schedule: DataFrame, checkpoint_every: int = 10) -> DataFrame:
+def ratings_by_rounds(matches: DataFrame, schedule: DataFrame) -> DataFrame:
     """The same recurrence as DataFrame rounds: one join and one aggregation per
     round index, for all leagues at once. No task sees more than its share of a
     round, at the price of one job chain per match day; lineage is cut with
@@ -190,8 +190,8 @@ def ratings_by_rounds(matches: DataFrame, schedule: DataFrame, checkpoint_every:
             state.join(moved.select("league", "team", "change"), ["league", "team"], "left")
             .select("league", "team", (F.col("elo") + F.coalesce("change", F.lit(0.0))).alias("elo"))
         )
-        if r % checkpoint_every == 0:
-            state = state.checkpoint()
+        # The next round reads the state several times: cut here, or plans double.
+        state = state.checkpoint()
     out = emitted[0]
     for part in emitted[1:]:
         out = out.unionByName(part)

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from touchline.functions import scorelines as P
 from touchline.operators.folds import Fold
 from touchline.operators.seasons import classify_team_seasons, season_index, team_rows, with_season_index
+from touchline.session import spread_by
 
 # --- Fixed values -----------------------------------------------------------
 # config: (uses rho, prior sd on attack and defence, half-life in days, complexity rank)
@@ -368,7 +369,7 @@ def out_of_fold(matches: DataFrame, fits: DataFrame, offsets: DataFrame, folds:
     rows = matches.withColumn("fold", fold_of[F.col("season")]).where("fold is not null")
     pairs = rows.select("league", "fold", "home", "away").distinct()
     rated = attach_strengths(pairs, fits, offsets, ["league", "fold"])
-    scored = score_fixtures(rated).select(
+    scored = score_fixtures(spread_by(rated, "league", "fold", "home", "away")).select(
         "league", "fold", "home", "away", "config_id", "p_home", "p_draw", "p_away",
         "expected_home_goals", "expected_away_goals", "most_likely_scoreline", "problem")
     return rows.select("match_id", "league", "season", "match_date", "home", "away", "fold", "ftr").join(

@@ -9,7 +9,7 @@ from touchline.operators import folds as folding
 from touchline.operators import goals, seasons
 from touchline.plans import sqltext as Q
 from touchline.plans.registry import r, register
-from touchline.session import written
+from touchline.session import spread_by, written
 from touchline.sources.contests import contests
 
 FOLDS = [(1, 1998, 1999), (2, 1999, 2000), (3, 2000, 2001)]
@@ -100,7 +100,8 @@ def rated_pairs(spark, sf):
     c = contests(spark, sf)
     pairs = c.select("league", "home", "away").distinct().withColumn("fold", F.lit(3))
     fits = moment_fits(spark, sf).where("team % 10 <> 3")
-    return goals.attach_strengths(pairs, fits, goals.promoted_offsets(c, FOLDS), ["league", "fold"])
+    rated = goals.attach_strengths(pairs, fits, goals.promoted_offsets(c, FOLDS), ["league", "fold"])
+    return spread_by(rated, "league", "home", "away")
 
 
 RATED = f"""WITH {Q.TEAM_ROWS}, {OFFSETS}, lgoals AS (SELECT league, avg(gf) lg FROM tr GROUP BY league),

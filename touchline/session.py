@@ -69,3 +69,16 @@ def broadcast_bounded(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFr
     if df.limit(bound + 1).count() <= bound:
         return F.broadcast(df)
     return df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """For CPU-heavy work on few bytes: use all cores if the scan has fewer
+    partitions than the cluster has. A large scan stays as it is, unshuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def spread_by(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the configured number of shuffle partitions.
+    A stated number keeps AQE from merging small but expensive partitions."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
