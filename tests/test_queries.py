@@ -4,11 +4,13 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from touchline.operators import form, seasons
 from touchline.plans import streams
 from touchline.sources.contests import contests
+from touchline.streaming import live as stream
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -39,10 +41,13 @@ def test_every_twin_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+def batch_form(spark):
+    return {(r["league"], r["team"], r["match_date"]): r for r in form.team_state(form.team_days(seasons.with_season_index(contests(spark, SF)))).collect()}
+
+
 def test_stream_form_equals_batch(spark):
     got = streams.form_result(spark, SF)
-    assert got.where("late").count() == 0
-    batch = {(r["league"], r["team"], r["match_date"]): r for r in form.team_state(form.team_days(seasons.with_season_index(contests(spark, SF)))).collect()}
+    batch = batch_form(spark)
     rows = got.collect()
     assert len(rows) > 0.5 * len(batch)
     for r in rows:
@@ -51,3 +56,17 @@ def test_stream_form_equals_batch(spark):
         for c in ("std_ppg", "ewma_gf", "ewma_ga", "ewma_ppg"):
             assert (r[c] is None) == (b[c] is None)
             assert r[c] is None or r[c] == pytest.approx(b[c], abs=1e-9)
+
+
+def test_late_days_are_found(spark, tmp_path):
+    """A month that arrives after the watermark has passed it is reported, day by day."""
+    rows = streams.form_rows(spark, SF)
+    late = F.col("match_date").between("1996-03-01", "1996-03-31")
+    for part in (rows.where(~late & (F.col("season") <= 1997)), rows.where("season = 1998"), rows.where(late), rows.where("season > 1998")):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    stream.run_to_table(stream.form_stream(source), str(tmp_path / "out"), str(tmp_path / "cp"))
+    missed = stream.missed_days(rows, spark.read.parquet(str(tmp_path / "out")))
+    assert missed.where(~late).count() == 0
+    assert missed.count() == rows.where(late).select("league", "team", "match_date").distinct().count()

@@ -74,7 +74,7 @@ def in_play_stream(snapshots: DataFrame) -> DataFrame:
 
 
 FORM_SCHEMA = ("league int, team long, match_date date, matches_played_season long, std_ppg double, ewma_gf double, ewma_ga double, "
-               "ewma_ppg double, late boolean")
+               "ewma_ppg double")
 FORM_STATE = "state string"
 
 
@@ -83,8 +83,9 @@ def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float
     """Team form before each match day, on a stream of finished matches.
 
     Days are buffered per team and played in order once the watermark has passed
-    them, so results of one day never see each other. A result older than the
-    last day played is emitted as ``late`` and left to the batch job.
+    them, so results of one day never see each other. A day that arrives after a
+    later one was played is not played out of order: :func:`missed_days` finds
+    it for the batch job to repair.
     ``team_rows`` carries ``match_ts`` (the day as timestamp) and ``season_idx``.
     """
     decay = 0.5 ** (1.0 / halflife)
@@ -98,7 +99,7 @@ def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float
             s["season"], s["sn"], s["sp"] = season, 0, 0.0
         warm = s["n"] >= min_periods
         out = (*key, pd.Timestamp(day, unit="D").date(), s["sn"], s["sp"] / s["sn"] if s["sn"] else None,
-               *[x / s["w"] if warm else None for x in s["x"]], False)
+               *[x / s["w"] if warm else None for x in s["x"]])
         for _, _, _, _, gf, ga, pts in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
             s["w"] = 1.0 + decay * s["w"]
             s["x"] = [v + decay * x for v, x in zip((gf, ga, pts), s["x"])]
@@ -115,10 +116,9 @@ def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float
                 for r in pdf.itertuples(index=False):
                     day = int(r.match_ts.timestamp() // 86400)
                     if s["last"] is not None and day <= s["last"]:
-                        out.append((*key, r.match_ts.date(), None, None, None, None, None, True))
-                    else:
-                        s["buffer"].setdefault(str(day), []).append(
-                            [int(r.season_idx), int(r.home), int(r.away), int(r.match_id), float(r.gf), float(r.ga), float(r.pts)])
+                        continue  # too late to play in order
+                    s["buffer"].setdefault(str(day), []).append(
+                        [int(r.season_idx), int(r.home), int(r.away), int(r.match_id), float(r.gf), float(r.ga), float(r.pts)])
         watermark_day = state.getCurrentWatermarkMs() // 86_400_000
         for day in sorted(int(d) for d in s["buffer"]):
             if day >= watermark_day:
@@ -136,6 +136,15 @@ def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float
         update, FORM_SCHEMA, FORM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def missed_days(team_rows: DataFrame, emitted: DataFrame) -> DataFrame:
+    """Team days at or before the last one emitted that the stream never played:
+    late results. From the earliest of a team on, its form needs the batch job."""
+    reached = emitted.groupBy("league", "team").agg(F.max("match_date").alias("_reached"))
+    days = team_rows.select("league", "team", "match_date").distinct()
+    return days.join(reached, ["league", "team"]).where("match_date <= _reached").drop("_reached").join(
+        emitted.select("league", "team", "match_date"), ["league", "team", "match_date"], "left_anti")
+
+
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there, into a parquet table."""
     if mode == "append":
