@@ -196,3 +196,15 @@ def config_ids(spark, sf):
     p = predictions(spark, sf).select("config_id", "fold", "season").distinct()
     params = F.create_map(F.lit("season"), F.col("season").cast("string"), F.lit("fold"), F.col("fold").cast("string"))
     return p.select(labels.config_id(F.col("config_id"), params).alias("config_id"))
+
+
+@register("s6_metrics_json", PREDICTIONS + f" SELECT config_id, fold, count(*) n_rows, {r(f'avg({LL})')} log_loss, {r('avg((top = y)::INT)')} accuracy FROM scored GROUP BY config_id, fold")
+def metrics_json(spark, sf):
+    """Metric rows written as JSON lines and read back under a declared schema."""
+    from touchline.session import fresh_path
+    from touchline.sources.prediction_files import write_metrics
+
+    path = fresh_path(spark, "metrics")
+    m = evaluate.fold_metrics(predictions(spark, sf), ["config_id", "fold"]).select("config_id", "fold", "n_rows", "log_loss", "accuracy")
+    write_metrics(m, path)
+    return spark.read.schema(m.schema).json(path)

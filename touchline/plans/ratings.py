@@ -244,3 +244,13 @@ def opening_elo(spark, sf):
           + ", ".join(S.FEATURE_COLUMNS) + " INTO NAME feature VALUE corr)")
 def target_correlation(spark, sf):
     return features.target_correlations(features.build_features(contests(spark, sf)), sealed_from=2001)
+
+
+@register("f2_elo_expectancy", f"WITH {Q.CONTESTS} SELECT match_id, {r('1 / (1 + pow(10, -((1400 + 10 * hs) + 45 - (1400 + 10 * as_)) / 400.0::DOUBLE))')} expected, "
+          f"{r('-400 * log10(1 / ((hst + 1) / (hst + ast + 2.0::DOUBLE)) - 1)')} gap FROM contests")
+def elo_expectancy(spark, sf):
+    from touchline.functions.ratings import expectancy, gap_from_score
+
+    rating = lambda c: 1400.0 + 10 * F.col(c)
+    share = (F.col("hst") + 1) / (F.col("hst") + F.col("ast") + 2)
+    return contests(spark, sf).select("match_id", expectancy(rating("hs"), rating("as_"), F.lit(45.0)).alias("expected"), gap_from_score(share).alias("gap"))
