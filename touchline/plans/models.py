@@ -163,10 +163,16 @@ def baselines(spark, sf):
 
 @register("m1_logistic_grid_metrics")
 def logistic_grid(spark, sf):
+    rows = assign_folds(feature_table(spark, sf), FOLDS)
     out = None
-    for c in classify.LOGREG_GRID:
-        one = fold_predictions(spark, sf, f"logreg[C={c}]", linear(S.LINEAR_COLUMNS, c))
-        out = one if out is None else out.unionByName(one)
+    for fold, _, _ in FOLDS:
+        train = rows.where((F.col("fold") == fold) & (F.col("part") == "train"))
+        val = rows.where((F.col("fold") == fold) & (F.col("part") == "validation"))
+        models = classify.fit_linear_grid(train, S.LINEAR_COLUMNS, classify.LOGREG_GRID)
+        for c, model in zip(classify.LOGREG_GRID, models):
+            one = classify.predict_linear(val, model).select(
+                "match_id", "fold", F.col("target").alias("y"), F.lit(f"logreg[C={c}]").alias("config_id"), *evaluate.PROBABILITIES)
+            out = one if out is None else out.unionByName(one)
     return evaluate.config_summary(out, ["config_id"])
 
 
