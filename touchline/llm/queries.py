@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import mixing, token_output
+from touchline.llm import mixing, perplexity, token_output
 
 QUERIES = {
+    "op6_quality_rules": perplexity.op6_quality_rules,
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
 }
