@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -48,14 +49,14 @@ def mapped(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.R
     return df.mapInArrow(fn, schema)
 
 
-def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
+def blocks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Batches cut into runs of rows whose values in ``column`` add up to about
     ``limit`` bytes; a longer single row is a run of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        data = batch.column(batch.schema.get_field_index(column))
-        size = np.cumsum([len(x.as_buffer()) if x.is_valid else 0 for x in data.cast(pa.binary())])
+        data = batch.column(column if isinstance(column, int) else batch.schema.get_field_index(column))
+        size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(data), 0), np.int64))
         start = 0
         while start < batch.num_rows:
             base = size[start - 1] if start else 0

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import mixing, perplexity, token_output
+from touchline.llm import mixing, perplexity, quality_model, token_output
 
 QUERIES = {
+    "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op6_quality_rules": perplexity.op6_quality_rules,
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
