@@ -19,6 +19,8 @@ order of their text's hash; a null id sorts first and comes back as null; an emp
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -40,25 +42,31 @@ DICTIONARY_BYTES = 64 * 1024
 SHARD_BYTES = 2_000_000
 LEVEL = 1
 MAGIC = b"TLID1"
-KNOWN_WORDS = 400_000  # of a worker's memory of words, emptied when full
+KNOWN_PIECES = 1_000_000  # of a worker's memory of pieces, emptied when full
 
 SHARDS = "part int, start_in_part long, n_docs long, n_tokens long, first_id long, last_id long, shard binary"
 _SHARDS = pa.schema([("part", pa.int32()), ("start_in_part", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()),
                      ("first_id", pa.int64()), ("last_id", pa.int64()), ("shard", pa.binary())])
 
 
+#: Of ISO 8859-1: white space, ASCII characters and accented letters. The vocabulary's normaliser only lowers these.
+_PLAIN = bytes([*range(9, 14), *range(32, 127), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100)])
+_LOWER = bytes(x + 32 if 65 <= x <= 90 or 0xC0 <= x <= 0xDE and x != 0xD7 else x for x in range(256))
+#: The pre-tokenizer's pattern, as it acts on plain characters in lower case.
+_PIECE = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\s0-9a-z\xdf-\xf6\xf8-\xff]+")
+_GROUP = 64
+
+
 class WordEncoder:
-    """The ids of whole texts from the ids of their words.
+    """The ids of whole texts from the ids of their pieces.
 
-    The vocabulary's pre-tokenizer never joins characters across white space, so a text's ids are those of its words one
-    after the other, and a worker encodes each word it meets once. Texts with the opening of a special token are given to
-    the library whole, since such a token could hold or touch white space."""
+    A text's ids are those of its pre-tokenizer's pieces one after the other, so a worker has the library encode each piece
+    that it meets once. That holds for texts of plain characters; any other text, and any with the opening of a
+    special token, is given to the library whole."""
 
     _loaded: dict[str, WordEncoder] = {}
 
     def __init__(self, path: str):
-        import os
-
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the parallel part
         from tokenizers import Tokenizer
 
@@ -71,25 +79,36 @@ class WordEncoder:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
+    def _learn(self, new: list[bytes], width: str) -> None:
+        groups = [new[k : k + _GROUP] for k in range(0, len(new), _GROUP)]
+        for group, e in zip(groups, self.tokenizer.encode_batch([b" ".join(g).decode("latin-1") for g in groups], add_special_tokens=False)):
+            cuts = [0, *(np.flatnonzero(np.diff(e.word_ids)) + 1).tolist(), len(e.ids)]
+            if len(cuts) != len(group) + 1:
+                raise ValueError("the vocabulary's pre-tokenizer does not cut texts as expected")
+            raw, size = np.array(e.ids, width).tobytes(), np.dtype(width).itemsize
+            for piece, s, t in zip(group, cuts, cuts[1:]):
+                self.known[piece] = raw[s * size : t * size]
+
     def serialised(self, data: list[bytes], width: str) -> list[bytes]:
         """For each text its ids, end id included, as little-endian numbers of type ``width``."""
-        split = [x.split() for x in data]
-        if len(self.known) > KNOWN_WORDS:
+        if len(self.known) > KNOWN_PIECES:
             self.known.clear()
-        known = self.known
-        new = list(set().union(*split) - known.keys())
-        encodings = self.tokenizer.encode_batch_fast([x.decode() for x in new], add_special_tokens=False)
-        for word, e in zip(new, encodings):
-            known[word] = np.array(e.ids, width).tobytes()
         end = np.array([END_ID], width).tobytes()
-        found = []
-        for x, words in zip(data, split):
-            if b"<|" in x:
-                ids = self.tokenizer.encode(x.decode(), add_special_tokens=False).ids
-                found.append(np.array(ids, width).tobytes() + end)
+        found: list = []
+        for x in data:
+            text = x.decode()
+            try:
+                plain = text.encode("latin-1")
+            except UnicodeEncodeError:
+                plain = None
+            if plain is None or b"<|" in x or plain.translate(None, _PLAIN):
+                found.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, width).tobytes())
             else:
-                found.append(b"".join([known[w] for w in words]) + end)
-        return found
+                found.append(_PIECE.findall(plain.translate(_LOWER)))
+        new = set().union(*(x for x in found if isinstance(x, list))) - self.known.keys()
+        self._learn(list(new), width)
+        known = self.known.__getitem__
+        return [(b"".join(map(known, x)) if isinstance(x, list) else x) + end for x in found]
 
 
 def train_dictionary(docs: DataFrame, path: str, width: str, sample: int = SAMPLE_DOCS) -> bytes:
