@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from touchline.llm import mixing, perplexity, quality_model, token_output
+from touchline.llm import mixing, perplexity, pii, quality_model, secrets, token_output
 
 QUERIES = {
+    "op2_pii": pii.op2_pii,
+    "op7_secrets": secrets.op7_secrets,
     "op3_quality_classifier": quality_model.op3_quality_classifier,
     "op6_quality_rules": perplexity.op6_quality_rules,
     "op8_token_output": token_output.op8_token_output,
