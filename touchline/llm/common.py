@@ -35,6 +35,14 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
     return df.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
 
 
+def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``ids`` (one column); columns unchanged, whatever their names.
+    Rows without an id stay."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    gone = ids.toDF("gone")
+    return plain.join(gone, plain[f"c{docs.columns.index(id_col)}"] == gone["gone"], "left_anti").toDF(*docs.columns)
+
+
 def n_words(text: Column) -> Column:
     """Number of words, on the JVM."""
     inner = F.trim(text, F.lit(_TRIM))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import mixing, perplexity, pii, quality_model, secrets, token_output
+from touchline.llm import decontamination, mixing, perplexity, pii, quality_model, secrets, token_output
 
 QUERIES = {
+    "op5_decontamination": decontamination.op5_decontamination,
     "op2_pii": pii.op2_pii,
     "op7_secrets": secrets.op7_secrets,
     "op3_quality_classifier": quality_model.op3_quality_classifier,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
 }
 
-ORACLES = {"op9_mixing": mixing.SQL}
+ORACLES = {"op5_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
