@@ -173,7 +173,7 @@ def packed(schema: pa.Schema, key: np.ndarray, buckets: int, arrays: list[np.nda
     return out(schema, bucket[cuts], *columns)
 
 
-def unpacked(batches: Iterator[pa.RecordBatch], names: list[str], types: list) -> list[np.ndarray]:
+def unpacked(batches: Iterable[pa.RecordBatch], names: list[str], types: list) -> list[np.ndarray]:
     """All rows of a partition as arrays."""
     found: list[list[bytes]] = [[] for _ in names]
     for batch in batches:
