@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontamination, html_text, mixing, perplexity, pii, quality_model, secrets, substring_dedup, token_output
+from touchline.llm import decontamination, html_text, mixing, near_dedup, perplexity, pii, quality_model, secrets, substring_dedup, token_output
 
 QUERIES = {
+    "op4_near_dedup": near_dedup.op4_near_dedup,
     "op1_substring_dedup": substring_dedup.op1_substring_dedup,
     "op10_html_text": html_text.op10_html_text,
     "op5_decontamination": decontamination.op5_decontamination,
