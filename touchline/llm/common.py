@@ -43,6 +43,14 @@ def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> Data
     return plain.join(gone, plain[f"c{docs.columns.index(id_col)}"] == gone["gone"], "left_anti").toDF(*docs.columns)
 
 
+def bounded_sample(df: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
+    """About ``most`` rows by a hash of their id, all if there are no more, and never over twice as many. Only those rows move."""
+    n = df.count()
+    if n > most:
+        df = df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**30)) < int(2**30 * most / n))
+    return df.limit(2 * most)
+
+
 def n_words(text: Column) -> Column:
     """Number of words, on the JVM."""
     inner = F.trim(text, F.lit(_TRIM))

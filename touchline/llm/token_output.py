@@ -8,8 +8,8 @@ lost executor's shards are written again by Spark's committer):
     times, the offset of its bytes (uint64); then the bytes: each document's ids, little-endian, compressed alone by
     zstandard with the shared dictionary.
 
-The dictionary is trained on the serialised ids of a bounded sample of documents (``SAMPLE_DOCS``, those with the
-least md5 of their id) and stored beside the shards with its hash; a reader refuses a shard whose hash differs. One
+The dictionary is trained on the serialised ids of a bounded sample of documents (``SAMPLE_DOCS``, by a
+hash of their id) and stored beside the shards with its hash; a reader refuses a shard whose hash differs. One
 document is read by its index entry alone, without its neighbours.
 
 Defined cases: null text is an empty document, which has the end id only; documents with one id stay together, in the
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from touchline.llm.common import NULL_ID, as_ids, blocks, mapped, out, partitions, table, texts
+from touchline.llm.common import NULL_ID, as_ids, blocks, bounded_sample, mapped, out, partitions, table, texts
 from touchline.session import fresh_path
 
 END_ID = 2
@@ -112,9 +112,9 @@ class WordEncoder:
 
 
 def train_dictionary(docs: DataFrame, path: str, width: str, sample: int = SAMPLE_DOCS) -> bytes:
-    """A zstandard dictionary from the ids of at most ``sample`` documents; empty if they are too few to train on."""
-    rows = docs.orderBy(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.xxhash64("text")).limit(sample).select("text").collect()
-    samples = WordEncoder.of(path).serialised([r[0].encode() for r in rows], width)
+    """A zstandard dictionary from the ids of about ``sample`` documents; empty if they are too few to train on."""
+    rows = bounded_sample(docs, sample).select("doc_id", "text").collect()
+    samples = WordEncoder.of(path).serialised([r[1].encode() for r in sorted(rows, key=str)], width)
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:  # too few or too small samples
