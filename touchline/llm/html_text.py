@@ -7,7 +7,7 @@ greatest total: an element is either dropped with everything in it, or kept with
 in a dropped one.
 
 There are no marked pages. The trees learn from the page's own semantic markup on a bounded sample (``SAMPLE_PAGES``
-pages of least md5 of their id): what stands in article or main and in nothing that its tag or its attribute tokens
+pages, by a hash of their id): what stands in article or main and in nothing that its tag or its attribute tokens
 name as boilerplate is text. Each sampled page is shown a second time in another layout (``varied``), and half of the
 training rows without the names of article and main, so that the trees also judge pages of other makes.
 
@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import blocks, mapped, out, pick, table
+from touchline.llm.common import blocks, bounded_sample, mapped, out, pick, table
 
 SAMPLE_PAGES = 400
 TREES = 40
@@ -382,9 +382,8 @@ def pages(df: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col
 
 
 def train(df: DataFrame, sample: int = SAMPLE_PAGES) -> dict:
-    """Boosted trees from a bounded sample of pages, those with the least md5 of their id."""
-    key = F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")))
-    rows = mapped(df.orderBy(key, "url").limit(sample).select("html"), _training, "x array<double>, y double").toPandas()
+    """Boosted trees from a bounded sample of pages."""
+    rows = mapped(bounded_sample(df, sample, "page_id").select("html"), _training, "x array<double>, y double").toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(NAMES))
     return boost(x, rows["y"].to_numpy(float))
 

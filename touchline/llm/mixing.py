@@ -102,6 +102,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MAX_
             .select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken")))
 
 
+def repeated(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MAX_COPIES, *, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them; columns unchanged. The plan is a row for each source, so
+    rows are judged where they lie by their own hash."""
+    sizes = written(sized(docs, id_col=id_col, source_col=source_col), "mix-sizes")
+    plan = thresholds(sizes, targets(sizes, weights, share, most))
+    plan = plan.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("s"), F.col("copies").alias("n"), "bound", "closed")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    doc_id, source = (F.col(f"c{docs.columns.index(c)}") for c in (id_col, source_col))
+    h = F.substring(F.md5(F.coalesce(doc_id.cast("long").cast("string"), F.lit(""))), 1, HASH_HEX)
+    joined = plain.withColumn("s", F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))).withColumn("h", h).join(plan, "s")
+    more = F.when(F.col("bound").isNull(), False).when(F.col("closed"), F.col("h") <= F.col("bound")).otherwise(F.col("h") < F.col("bound"))
+    times = (F.col("n") + more.cast("long")).cast("int")
+    return joined.withColumn("_t", F.explode(F.array_repeat(F.lit(0), times))).select(*plain.columns).toDF(*docs.columns)
+
+
 def op9_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
