@@ -123,6 +123,14 @@ def batch_words(data: list[bytes]) -> tuple[list[list[bytes]], np.ndarray, np.nd
     return words, np.concatenate([hashed(x) for x in words]) if words else np.zeros(0, np.uint64), starts
 
 
+def batch_hashes(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """As batch_words, without keeping the words."""
+    found = [hashed(words_of(x)) for x in data]
+    starts = np.zeros(len(data) + 1, np.int64)
+    np.cumsum([len(x) for x in found], out=starts[1:])
+    return np.concatenate(found) if found else np.zeros(0, np.uint64), starts
+
+
 _FACTOR = 0x9E3779B97F4A7C15
 
 

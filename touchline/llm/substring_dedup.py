@@ -31,13 +31,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import (BUCKETS_EACH, NULL_ID, as_bytes, as_ids, batch_words, blocks, first_of_run, joined, mapped, mix, out, owner_of, packed,
+from touchline.llm.common import (BUCKETS_EACH, NULL_ID, as_bytes, as_ids, batch_hashes, blocks, first_of_run, joined, mapped, mix, out, owner_of, packed,
                                   partitions, table, texts, unpacked, windows, words_of)
 from touchline.session import written
 
 WINDOW = 20
 _LOW = np.uint64(15)
-BLOCK_BYTES = 16_000_000
+BLOCK_BYTES = 4_000_000
 
 _PACKED = pa.schema([("bucket", pa.int32()), ("key", pa.binary()), ("stretch", pa.binary()), ("doc", pa.binary()), ("place", pa.binary()),
                      ("doc_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("open", pa.bool_())])
@@ -120,7 +120,7 @@ _HEAD = pa.schema(list(_PACKED)[:5])
 def _level_one(length: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, limit=BLOCK_BYTES):
-            _, h, starts = batch_words(as_bytes(batch))
+            h, starts = batch_hashes(as_bytes(batch))
             ids = as_ids(batch)
             key, stretch, text, lo, hi, again = anchors(h, starts, length)
             doc = ids[text]
@@ -177,7 +177,7 @@ def _level_two(length: int, buckets: int):
     """Hashes of the open windows of each document, by their own hash."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, limit=BLOCK_BYTES):
-            _, h, starts = batch_words(as_bytes(batch))
+            h, starts = batch_hashes(as_bytes(batch))
             _, full = _rolled(h, length)
             ids, spans = as_ids(batch), batch.column(2).to_pylist()
             text = np.repeat(np.arange(len(spans)), [len(s) for s in spans])
