@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import (NULL_ID, as_bytes, as_ids, batch_words, blocks, first_of_run, mapped, mix, out, owner_of, partitions, table, texts, windows,
+from touchline.llm.common import (NULL_ID, as_bytes, as_ids, batch_hashes, blocks, first_of_run, mapped, mix, out, owner_of, partitions, table, texts, windows,
                                   without_ids)
 from touchline.session import written
 
@@ -51,7 +51,7 @@ _LOWER = bytes(x + 32 if 65 <= x <= 90 else x for x in range(256))
 
 def shingle_hashes(data: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, sorted within it, one text after the other, and where each begins."""
-    _, h, starts = batch_words([x.translate(_LOWER) for x in data])
+    h, starts = batch_hashes([x.translate(_LOWER) for x in data])
     own = owner_of(starts)
     count = np.diff(starts)
     w = mix(windows(h, size)) if len(h) >= size else np.zeros(0, np.uint64)

@@ -235,14 +235,14 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
     """The rows of ``docs`` whose own text scores at least ``threshold``; the columns of docs, unchanged.
     The text is scored where it lies, so no row moves."""
     model = train(written(feature_table(texts(docs)), "quality-features"), labels)
-    at, schema = docs.columns.index("text"), docs.schema
+    at, plain = docs.columns.index("text"), docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(batches, at):
             data = [x or b"" for x in batch.column(at).cast(pa.binary()).to_pylist()]
             yield batch.filter(pa.array(model.score(features(data)) >= threshold))
 
-    return docs.mapInArrow(run, schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def op3_quality_classifier(spark, sf_dir: str) -> DataFrame:
