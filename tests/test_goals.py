@@ -102,3 +102,20 @@ def test_fit_through_spark_recovers_order(make_matches):
     oof = goals.out_of_fold(m, fits, goals.promoted_offsets(m, folds), folds)
     assert oof.count() == 30 * 5
     assert oof.agg(F.max(F.abs(F.col("p_home") + F.col("p_draw") + F.col("p_away") - 1))).first()[0] < 1e-9
+
+
+def test_a_failed_fit_is_not_left_out(spark):
+    fits = spark.createDataFrame([(0, 1, "c", "A", None, None, None, None, None, "not converged")],
+                                 "league int, fold int, config_id string, team string, attack double, defence double, intercept double, home_advantage double, rho double, status string")
+    offsets = spark.createDataFrame([(0, 1, 0.0, 0.0)], "league int, fold int, promoted_attack double, promoted_defence double")
+    fixtures = spark.createDataFrame([(0, 1, "A", "B")], "league int, fold int, home string, away string")
+    with pytest.raises(Exception, match="goal model not fitted: not converged"):
+        goals.attach_strengths(fixtures, fits, offsets, ["league", "fold"]).collect()
+
+
+def test_parameters_without_metadata_are_refused(spark, tmp_path):
+    from touchline.sources import provenance
+
+    (tmp_path / "p.json").write_text('{"league": 0, "fold": 1, "params": {"config_id": "c", "intercept": 0.1, "home_advantage": 0.2, "attack": {"A": 0.1}, "defence": {"A": 0.1}}}')
+    with pytest.raises(ValueError, match="unsound"):
+        provenance.read_goal_parameters(spark, str(tmp_path / "p.json"))

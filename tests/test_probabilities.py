@@ -107,10 +107,15 @@ def test_exact_medians(spark):
     xs = [rng.choice([rng.gauss(0, 1), 0.25]) for _ in range(4001)]
     ys = [rng.random() if i % 3 else None for i in range(4001)]
     df = spark.createDataFrame([(x, v) for x, v in zip(xs, ys)], "x double, y double").repartition(5)
-    for bound in (20_000, 50):
-        got = exact_medians(df, ["x", "y"], bound)
-        assert got["x"] == np.median(xs)
-        assert got["y"] == np.median([v for v in ys if v is not None])
+    got = exact_medians(df, ["x", "y"])
+    assert got["x"] == np.median(xs)
+    assert got["y"] == np.median([v for v in ys if v is not None])
+
+
+@pytest.mark.parametrize("values", [[1.0], [1.0, 2.0], [5.0] * 9, [1.0, 1.0, 1e18], [-3.0, 7.0, 7.0, 9.0], [float(i) for i in range(2000)] + [2000.0] * 3000, [None]])
+def test_exact_medians_of_few_and_of_skewed_values(spark, values):
+    got = exact_medians(spark.createDataFrame([(v,) for v in values], "x double"), ["x"])["x"]
+    assert got == (None if values == [None] else np.median(values))
 
 
 def linear_rows(spark, n=400, seed=4):

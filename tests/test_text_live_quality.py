@@ -104,6 +104,39 @@ def test_as_of_against_brute_force(spark):
             assert r["is_stale"] == int((at - want).total_seconds() >= 3600)
 
 
+def test_as_of_ties_take_the_greatest_by_the_tie_column(spark):
+    t = dt.datetime(2024, 1, 1)
+    snaps = spark.createDataFrame([(1, t, 5, "old"), (1, t, 9, "a"), (1, t, 7, "z")], "k int, ts timestamp, v int, note string")
+    for hours in (0, 30):  # within the bucket and carried forward
+        reads = spark.createDataFrame([(1, 1, t + dt.timedelta(hours=hours))], "read_id long, k int, ts timestamp")
+        assert live.as_of(reads, snaps, "k", "ts", ["note"], 60, tie="v").first()["note"] == "a"
+
+
+def test_ambiguous_alias_fails(spark):
+    schema = "canonical_id string, canonical_name string, historical_names array<string>, aliases array<string>, has_history boolean"
+    clubs = spark.createDataFrame([("a", "Alpha", [], ["United"], True), ("b", "Beta", [], ["united"], True)], schema)
+    assert [r["detail"] for r in teams.registry_problems(clubs).collect()] == ["united"]
+    rows = spark.createDataFrame([("United",)], "n string")
+    with pytest.raises(Exception, match="ambiguous alias: united"):
+        teams.resolve_names(rows, "n", teams.alias_table(clubs)).collect()
+
+
+def test_reports_are_whole(spark):
+    from touchline.session import refuse_if_any
+
+    with pytest.raises(ValueError, match="57 rows in"):
+        refuse_if_any(spark.range(57), "report", "refused")
+    refuse_if_any(spark.range(0), "report", "refused")
+
+
+def test_failed_refresh_keeps_the_old_value_as_stale(spark):
+    rows = spark.createDataFrame([(1, dt.datetime(2024, 1, 1), True), (2, dt.datetime(2024, 1, 1), None)], "id int, at timestamp_ntz, failed boolean")
+    read = F.lit("2024-01-01 00:00:10").cast("timestamp_ntz")
+    got = {r["id"]: r for r in live.with_freshness(rows, read, "at", 60, "p", source_kind="LOCAL_MODEL", failed=F.col("failed")).collect()}
+    assert got[1]["is_stale"] and not got[2]["is_stale"] and got[1]["last_successful_refresh"] == got[1]["at"]
+    assert got[1]["source_kind"] == "LOCAL_MODEL" and got[1]["cache_age_seconds"] == 10
+
+
 def test_dates_and_labels(spark):
     assert str(one(spark, "13/08/15", parse_raw_date)) == "2015-08-13" and str(one(spark, "08/08/2015", parse_raw_date)) == "2015-08-08"
     assert str(one(spark, "08/08/95", parse_raw_date)) == "1995-08-08" and one(spark, "nonsense", parse_raw_date) is None

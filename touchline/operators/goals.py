@@ -244,8 +244,11 @@ def attach_strengths(fixtures: DataFrame, fits: DataFrame, offsets: DataFrame, b
     """Expected goals of each fixture. Clubs without a fit take the promoted
     offsets. ``by`` names the columns shared by fixtures, fits and offsets."""
     keys = [*by, "config_id"]
-    header = fits.where("status = 'fitted'").groupBy(*keys).agg(
-        F.first("intercept").alias("intercept"), F.first("home_advantage").alias("home_advantage"), F.first("rho").alias("rho"))
+    # A fit that did not succeed fails the job where its fixtures are rated; none of them is left out.
+    failed = F.raise_error(F.concat(F.lit("goal model not fitted: "), F.coalesce(F.max("status"), F.lit("no status"))))
+    header = fits.groupBy(*keys).agg(
+        F.when(F.coalesce(F.min("status") == "fitted", F.lit(False)) & (F.max("status") == "fitted"), F.first("intercept")).otherwise(failed.cast("double")).alias("intercept"),
+        F.first("home_advantage").alias("home_advantage"), F.first("rho").alias("rho"))
     out = fixtures.join(header, by).join(offsets, by)
     for side in ("home", "away"):
         s = fits.select(*keys, F.col("team").alias(side), F.col("attack").alias(f"{side}_attack"), F.col("defence").alias(f"{side}_defence"))

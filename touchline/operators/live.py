@@ -101,6 +101,8 @@ def parse_snapshots(entries: DataFrame, aliases: DataFrame, season: str) -> Data
         return placed.groupBy(*KEY).agg(last("home").alias(f"home_{value}"), last("away").alias(f"away_{value}"))
 
     lineups = parse_lineups(entries, aliases)
+    unknown = lineups.where("problem IS NOT NULL").select(*KEY, F.lit("unknown club in a lineup").alias("_lineup_problem")).distinct()
+    fixtures = fixtures.join(unknown, KEY, "left").withColumn("problem", F.coalesce("problem", "_lineup_problem")).drop("_lineup_problem")
     lineups = lineups.withColumn("lineup", F.struct("team_id", "formation", "starting_xi", "substitutes", "coach"))
     events = parse_events(entries, aliases).groupBy(*KEY).agg(
         F.sort_array(F.collect_list(F.struct("place", "type", "minute", "team_id", "player", "assist", "detail"))).alias("events"))
@@ -128,17 +130,19 @@ def filter_fixtures(fixtures: DataFrame, *, team=None, status: str | None = None
         out = out.where(F.col("kickoff") >= F.lit(date_from))
     if date_to is not None:
         out = out.where(F.col("kickoff") <= F.lit(date_to))
-    return out if limit is None else out.orderBy("kickoff", "fixture_id").limit(limit)
+    return _first(out.orderBy("kickoff", "fixture_id"), limit)
+
+
+def _first(ordered: DataFrame, limit: int | None) -> DataFrame:
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def upcoming(fixtures: DataFrame, now, limit: int | None = None) -> DataFrame:
-    out = fixtures.where(F.col("kickoff") >= F.lit(now))
-    return out if limit is None else out.orderBy("kickoff", "fixture_id").limit(limit)
+    return _first(fixtures.where(F.col("kickoff") >= F.lit(now)).orderBy("kickoff", "fixture_id"), limit)
 
 
 def recent(fixtures: DataFrame, team=None, limit: int | None = None) -> DataFrame:
-    out = filter_fixtures(fixtures, team=team, status="FINISHED")
-    return out if limit is None else out.orderBy(F.desc("kickoff"), "fixture_id").limit(limit)
+    return _first(filter_fixtures(fixtures, team=team, status="FINISHED").orderBy(F.desc("kickoff"), "fixture_id"), limit)
 
 
 def constraint_violations(rules: dict[str, Column], rows: DataFrame, key: list[str]) -> DataFrame:
@@ -147,12 +151,17 @@ def constraint_violations(rules: dict[str, Column], rows: DataFrame, key: list[s
     return rows.select(*key, F.explode(broken).alias("rule"))
 
 
+STATISTIC_COUNTS = ["shots", "shots_on_target", "corners", "fouls", "offsides", "yellow_cards", "red_cards"]
+
+
 def live_rules() -> dict[str, Column]:
     c = F.col
     return {
         "same_club": c("home_id") == c("away_id"), "negative_minute": c("minute") < 0,
         "negative_score": (c("home_score") < 0) | (c("away_score") < 0),
-        "percent_range": (c("possession") < 0) | (c("possession") > 100), "position_below_one": c("position") < 1,
+        "negative_statistic": F.least(*[F.coalesce(c(n), F.lit(0)) for n in STATISTIC_COUNTS]) < 0,
+        "percent_range": (c("possession") < 0) | (c("possession") > 100) | (c("pass_accuracy") < 0) | (c("pass_accuracy") > 100),
+        "position_below_one": c("position") < 1,
         "fetched_after_read": c("fetched_at") > c("read_at"),
     }
 
@@ -163,29 +172,36 @@ def latest_snapshots(snapshots: DataFrame, key: list[str], at: str, tie: str) ->
     return snapshots.groupBy(*key).agg(F.max_by(F.struct(*rest), F.struct(at, tie)).alias("s")).select(*key, "s.*")
 
 
-def with_freshness(rows: DataFrame, read_at: Column, fetched_at: str, ttl_seconds: int, provider: str, replay: bool = False) -> DataFrame:
-    """Provider, source kind, age, ttl, stale flag and last success on every answer."""
+def with_freshness(rows: DataFrame, read_at: Column, fetched_at: str, ttl_seconds: int, provider: str, replay: bool = False,
+                   source_kind: str | None = None, failed: Column | None = None) -> DataFrame:
+    """Provider, source kind, age, ttl, stale flag and last success on every answer.
+
+    ``failed``: true where a refresh was tried after the answer was fetched and did not succeed; the old value stays,
+    is stale whatever its age, and keeps its own last success. ``source_kind``: such as LOCAL_MODEL for own forecasts."""
     age = P.age_seconds(read_at, F.col(fetched_at))
+    stale = age >= ttl_seconds
     return rows.withColumns({
-        "provider": F.lit(provider), "source_kind": F.lit("REPLAY" if replay else "REAL_PROVIDER"), "cache_age_seconds": age,
-        "ttl_seconds": F.lit(ttl_seconds), "is_stale": age >= ttl_seconds, "last_successful_refresh": F.col(fetched_at),
+        "provider": F.lit(provider), "source_kind": F.lit(source_kind or ("REPLAY" if replay else "REAL_PROVIDER")), "cache_age_seconds": age,
+        "ttl_seconds": F.lit(ttl_seconds), "is_stale": stale if failed is None else stale | F.coalesce(failed, F.lit(False)),
+        "last_successful_refresh": F.col(fetched_at),
     })
 
 
-def as_of(reads: DataFrame, snapshots: DataFrame, key: str, at: str, value: list[str], ttl_seconds: int, bucket_seconds: int = 86_400,
-          strict: bool = False) -> DataFrame:
-    """For every read the latest snapshot of its key at or before it.
+def as_of(reads: DataFrame, snapshots: DataFrame, key: str, at: str, value: list[str], ttl_seconds: int, bucket_seconds: int = 3_600,
+          strict: bool = False, tie: str | None = None) -> DataFrame:
+    """For every read the latest snapshot of its key at or before it; of those at one time the greatest by ``tie``, or by
+    their values if no column is named.
 
     Time buckets split each key: inside a bucket a window finds the last
     snapshot, and one row per (key, bucket) carries the last one of earlier
     buckets forward. A hot key thus spreads over its buckets.
     """
     bucket = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (bucket_seconds * 1_000_000))
-    snap = F.struct(F.col(at).alias("snapshot_at"), *value)
+    snap = F.struct(F.col(at).alias("snapshot_at"), *([F.col(tie).alias("_tie")] if tie else []), *value)
     s = snapshots.select(key, at, F.lit(0).alias("_is_read"), F.lit(None).cast("long").alias("read_id"), snap.alias("_snap"))
     r = reads.select(key, at, F.lit(1).alias("_is_read"), F.col("read_id").cast("long").alias("read_id"), F.lit(None).cast(s.schema["_snap"].dataType).alias("_snap"))
     log = s.unionByName(r).withColumn("_bucket", bucket)
-    inside = W.partitionBy(key, "_bucket").orderBy(at, "_is_read")
+    inside = W.partitionBy(key, "_bucket").orderBy(at, "_is_read", "_snap")
     local = log.withColumn("_here", F.last("_snap", ignorenulls=True).over(inside)).where("_is_read = 1")
     ends = log.groupBy(key, "_bucket").agg(F.max("_snap").alias("_end"))
     earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -193,7 +209,7 @@ def as_of(reads: DataFrame, snapshots: DataFrame, key: str, at: str, value: list
     out = local.join(carried, [key, "_bucket"]).withColumn("_s", F.coalesce("_here", "_before"))
     age = P.age_seconds(F.col(at), F.col("_s.snapshot_at"))
     found = F.col("_s").isNotNull()
-    out = out.select("read_id", key, F.col(at).alias("read_at"), "_s.*", F.when(found, age).alias("age_seconds"),
+    out = out.select("read_id", key, F.col(at).alias("read_at"), "_s.snapshot_at", *[F.col(f"_s.`{v}`").alias(v) for v in value], F.when(found, age).alias("age_seconds"),
                      F.when(found, (age >= ttl_seconds).cast("int")).alias("is_stale"), F.when(~found, "no snapshot").alias("problem"))
     if strict:
         out = out.withColumn("problem", F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("string")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline import schema as S
 from touchline.functions.labels import parse_raw_date, season_years
+from touchline.session import refuse_if_any
 
 # --- Fixed values: verified fixes of single source typos -------------------
 # (season, date, home team, away team, column, expected value, new value, reason)
@@ -68,9 +69,7 @@ def apply_corrections(matches: DataFrame, corrections: DataFrame) -> tuple[DataF
     seasons = matches.select("Season").distinct()
     wanted = corrections.join(seasons, "Season", "left_semi")
     log = audit_corrections(matches, wanted)
-    refused = log.where("NOT applicable").drop("reason").limit(20).collect()
-    if refused:
-        raise ValueError(f"refusing corrections: {refused}")
+    refuse_if_any(log.where("NOT applicable").drop("reason"), "refused-corrections", "refusing corrections")
     fixes = wanted.groupBy(*CORRECTION_KEY).agg(
         F.map_from_entries(F.collect_list(F.struct("column", "new_value"))).alias("fixes"))
     fixed = matches.join(fixes, CORRECTION_KEY, "left").withColumns(
@@ -132,9 +131,7 @@ def duplicate_violations(matches: DataFrame) -> DataFrame:
 
 def require_clean(violations: DataFrame) -> None:
     """Stop the batch before anything is written if a single rule is broken."""
-    shown = violations.limit(20).collect()
-    if shown:
-        raise ValueError(f"refusing to write, rule violations: {shown}")
+    refuse_if_any(violations, "rule-violations", "refusing to write, rule violations")
 
 
 def calendar_check(matches: DataFrame) -> DataFrame:

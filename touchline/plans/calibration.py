@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import calibrate
 from touchline.plans.evaluation import PREDICTIONS, predictions
 from touchline.plans.registry import r, register
-from touchline.session import fresh_path, written
+from touchline.session import fresh_path, refuse_if_any, written
 from touchline.sources import prediction_files
 
 APPROVED = [(1, 1999), (2, 2000), (3, 2001)]
@@ -30,9 +30,7 @@ def two_sets(spark, sf):
 
 def merged(spark, sf):
     out, problems = calibrate.merge_predictions(*two_sets(spark, sf), KEY, APPROVED)
-    found = problems.limit(10).collect()
-    if found:
-        raise ValueError(f"predictions do not merge one to one: {found}")
+    refuse_if_any(problems, "merge-problems", "predictions do not merge one to one")
     return out
 
 

@@ -214,26 +214,29 @@ def in_play(spark, sf):
     return rows.where(live.in_play(F.col("status"))).select("fixture_id", "status", "minute")
 
 
-@register("j13_as_of_lookup", """WITH reads AS (SELECT event_id read_id, user_id, ts FROM events WHERE event_type = 'error'), snap AS (SELECT user_id, ts, event_id FROM events WHERE event_type <> 'error'),
-j AS (SELECT r.read_id, r.user_id, r.ts rt, s.ts st FROM reads r ASOF LEFT JOIN snap s ON s.user_id = r.user_id AND r.ts >= s.ts)
-SELECT read_id, user_id, coalesce(strftime(st, '%Y-%m-%d %H:%M:%S.%f'), 'none') snapshot_at, coalesce(round((epoch_us(rt) - epoch_us(st)) / 1e6, 6), -1) age_seconds,
+@register("j13_as_of_lookup", """WITH reads AS (SELECT event_id read_id, user_id, ts FROM events WHERE event_type = 'error'), snap AS (SELECT user_id, ts, max(event_id) event_id, max_by(value, event_id) AS "value" FROM events WHERE event_type <> 'error' GROUP BY ALL),
+j AS (SELECT r.read_id, r.user_id, r.ts rt, s.ts st, s.event_id, s."value" FROM reads r ASOF LEFT JOIN snap s ON s.user_id = r.user_id AND r.ts >= s.ts)
+SELECT read_id, user_id, coalesce(event_id, -1) snapshot_id, coalesce(round("value", 6), -1) AS "value", coalesce(strftime(st, '%Y-%m-%d %H:%M:%S.%f'), 'none') snapshot_at, coalesce(round((epoch_us(rt) - epoch_us(st)) / 1e6, 6), -1) age_seconds,
   coalesce((epoch_us(rt) - epoch_us(st) >= 1800000000)::INT, -1) is_stale, CASE WHEN st IS NULL THEN 'no snapshot' END problem FROM j""")
 def as_of_lookup(spark, sf):
-    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    e = table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
     reads = e.where("event_type = 'error'").withColumnRenamed("event_id", "read_id")
-    out = live.as_of(reads, e.where("event_type <> 'error'"), "user_id", "ts", [], P.SLOW_TTL_SECONDS)
-    return out.select("read_id", "user_id", F.coalesce(F.date_format("snapshot_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("none")).alias("snapshot_at"),
+    out = live.as_of(reads, e.where("event_type <> 'error'"), "user_id", "ts", ["value", "event_id"], P.SLOW_TTL_SECONDS, tie="event_id")
+    return out.select("read_id", "user_id", F.coalesce("event_id", F.lit(-1)).alias("snapshot_id"), F.coalesce("value", F.lit(-1.0)).alias("value"), F.coalesce(F.date_format("snapshot_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("none")).alias("snapshot_at"),
                       F.coalesce("age_seconds", F.lit(-1.0)).alias("age_seconds"), F.coalesce("is_stale", F.lit(-1)).alias("is_stale"), "problem")
 
 
 @register("p22_live_constraints", """WITH b AS (SELECT event_id, user_id % 7 h, event_id % 7 a, (props::JSON->>'k')::INT - 2 mi, floor(value)::INT - 3 hs, value possession, event_id % 40 pos, ts FROM events)
 SELECT event_id, 'same_club' AS "rule" FROM b WHERE h = a UNION ALL SELECT event_id, 'negative_minute' FROM b WHERE mi < 0 UNION ALL SELECT event_id, 'negative_score' FROM b WHERE hs < 0
-UNION ALL SELECT event_id, 'percent_range' FROM b WHERE possession > 100 OR possession < 0 UNION ALL SELECT event_id, 'position_below_one' FROM b WHERE pos < 1
+UNION ALL SELECT event_id, 'negative_statistic' FROM b WHERE event_id % 9 = 0
+UNION ALL SELECT event_id, 'percent_range' FROM b WHERE possession > 100 OR possession < 0 OR event_id % 103 > 100 UNION ALL SELECT event_id, 'position_below_one' FROM b WHERE pos < 1
 UNION ALL SELECT event_id, 'fetched_after_read' FROM b WHERE ts > TIMESTAMP '2024-01-30'""")
 def live_constraints(spark, sf):
     e = table(spark, sf, "events")
     rows = e.select("event_id", (F.col("user_id") % 7).alias("home_id"), (F.col("event_id") % 7).alias("away_id"),
                     (F.from_json("props", "k int")["k"] - 2).alias("minute"), (F.floor("value") - 3).alias("home_score"), F.lit(0).alias("away_score"),
+                    *[F.lit(None).cast("int").alias(n) for n in live.STATISTIC_COUNTS[2:]], (F.col("event_id") % 9 - 1).alias("shots"),
+                    F.lit(None).cast("int").alias("shots_on_target"), (F.col("event_id") % 103).alias("pass_accuracy"),
                     F.col("value").alias("possession"), (F.col("event_id") % 40).alias("position"), F.col("ts").alias("fetched_at"),
                     F.lit("2024-01-30 00:00:00").cast("timestamp_ntz").alias("read_at"))
     return live.constraint_violations(live.live_rules(), rows, ["event_id"])

@@ -61,16 +61,27 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 BROADCAST_ROW_BOUND = 200_000
+BROADCAST_BYTE_BOUND = 64_000_000
 
 
-def broadcast_bounded(df: DataFrame, bound: int = BROADCAST_ROW_BOUND) -> DataFrame:
-    """Hint a broadcast only after counting: beyond ``bound`` rows the side is
-    returned as it is and the join shuffles (AQE splits skewed partitions)."""
-    if df.limit(bound + 1).count() <= bound:
+def broadcast_bounded(df: DataFrame, bound: int = BROADCAST_ROW_BOUND, byte_bound: int = BROADCAST_BYTE_BOUND) -> DataFrame:
+    """Hint a broadcast only after counting rows and bytes (as JSON): beyond either bound the
+    side is returned as it is and the join shuffles (AQE splits skewed partitions)."""
+    seen = df.limit(bound + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("b")).first()
+    if seen["n"] <= bound and seen["b"] <= byte_bound:
         return F.broadcast(df)
     return df
 
 
+def refuse_if_any(problems: DataFrame, label: str, what: str) -> None:
+    """Fail if there is any row. The whole report is written to the shared folder; the error names its path, its size and a first row."""
+    first = problems.first()
+    if first is not None:
+        path = fresh_path(problems.sparkSession, label)
+        problems.write.parquet(path)
+        raise ValueError(f"{what}: {problems.sparkSession.read.parquet(path).count()} rows in {path}, such as {first.asDict()}")
+
+
 def spread(df: DataFrame) -> DataFrame:
     """For CPU-heavy work on few bytes: use all cores if the scan has fewer
     partitions than the cluster has. A large scan stays as it is, unshuffled."""

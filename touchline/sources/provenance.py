@@ -70,21 +70,24 @@ def provenance_violations(spark: SparkSession, path: str, seasons: list) -> list
     out = [] if old["valid_for_evaluation"] else ["not valid for evaluation"]
     if old["feature_columns"].split(",") != S.FEATURE_COLUMNS:
         out.append("built with another feature list")
-    per_season = spark.read.parquet(path).groupBy("season").count().collect()  # one row per season
+    stored = spark.read.parquet(path)
+    per_season = stored.groupBy("season").count().collect()  # one row per season
     if sum(r["count"] for r in per_season) != old["n_rows"]:
         out.append("row count differs from provenance")
     present = {str(r["season"]) for r in per_season}
     out += [f"season {s} absent" for s in seasons if str(s) not in present]
     if old["row_cap"] is not None:
         out += [f"season {s} past the row cap" for s in sorted(present) if s > old["row_cap"]]
-    scheduled = {e["season"]: e for e in json.loads(old["schedule"])}
-    for s in seasons:
-        entry = scheduled.get(str(s))
-        if entry is None or entry["status"] != "estimated":
-            out.append(f"season {s} has no estimated parameters")
-        elif max(entry["estimated_from"]) >= str(s):
-            out.append(f"season {s} parameters are not strictly earlier")
-    return out
+    # Every league of the table must have its own parameters for each season.
+    kind = "array<struct<league:string,season:string,status:string,estimated_from:array<string>>>"
+    schedule = spark.read.parquet(path + SIDE_SUFFIX).select(F.explode(F.from_json("schedule", kind)).alias("e")).select("e.*")
+    used = stored.where(F.col("season").cast("string").isin([str(s) for s in seasons])).select(
+        F.col("league").cast("string").alias("league"), F.col("season").cast("string").alias("season")).distinct()
+    problem = (F.when(F.coalesce(F.col("status") != "estimated", F.lit(True)), "has no estimated parameters")
+               .when(F.coalesce(F.array_max("estimated_from") >= F.col("season"), F.lit(True)), "parameters are not strictly earlier"))
+    bad = used.join(schedule, ["league", "season"], "left").select("season", "league", problem.alias("problem")).where("problem IS NOT NULL")
+    rows = bad.distinct().orderBy("season", "league").collect()  # at most one row for each league and season asked about
+    return out + [f"season {r['season']} of league {r['league']} {r['problem']}" for r in rows]
 
 
 PARAMETER_SCHEMA = (
@@ -114,7 +117,9 @@ def read_goal_parameters(spark: SparkSession, path: str, sealed: str = S.SEALED_
     list the sealed season or claim a scored final test are refused."""
     docs = spark.read.schema("league int, fold int, " + PARAMETER_SCHEMA).option("multiLine", multiline).json(path)
     docs = docs.withColumns({"league": F.coalesce("league", F.lit(0)), "fold": F.coalesce("fold", F.lit(0))})
-    bad = docs.where(F.array_contains("metadata.training_seasons", sealed) | F.col("metadata.sealed_final_test_scored") | F.col("params").isNull())
+    bad = docs.where(F.coalesce(
+        F.array_contains("metadata.training_seasons", sealed) | F.col("metadata.sealed_final_test_scored") | F.col("metadata.training_cutoff_season").isNull()
+        | (F.size("metadata.training_seasons") < 1) | F.col("params").isNull(), F.lit(True)))
     if bad.limit(1).count():
         raise ValueError(f"{path} holds unsound goal-model parameters")
     p = F.col("params")

@@ -17,13 +17,13 @@ def season_label() -> Column:
 
 
 def headers(spark: SparkSession, folder: str) -> DataFrame:
-    """(season, column) from the first line of every season file. Only that line
-    is shuffled, whatever the file size. A byte order mark is skipped."""
-    lines = spark.read.text(f"{folder}/*.csv").select(
-        season_label().alias("season"), F.col("_metadata.file_block_start").alias("start"), "value",
-        F.monotonically_increasing_id().alias("pos"),
-    )
-    first = lines.where("start = 0").groupBy("season").agg(F.min_by("value", "pos").alias("header"))
+    """(season, column) from the first line of every season file. Files are listed without their content, and of each
+    season's first file one line is read, whatever its size. A byte order mark is skipped."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(folder).where("length > 0")
+    listed = files.select(F.regexp_extract("path", LABEL, 1).alias("season"), "path").groupBy("season").agg(F.min("path").alias("path"))
+    first = spark.createDataFrame(
+        [(row["season"], spark.read.text(row["path"]).first()["value"]) for row in listed.orderBy("season").collect()],  # one row per season
+        "season string, header string")
     return first.select("season", F.posexplode(F.split("header", ",")).alias("place", "column")).withColumn(
         "column", F.trim(F.regexp_replace("column", '^\ufeff?"?|"$', "")))
 

@@ -37,11 +37,16 @@ LATEST_SCHEMA = "fixture_id long, fetched_at timestamp, event_id long, status st
 LATEST_STATE = "fetched_at timestamp, event_id long, status string, minute int, home_score int"
 
 
-def latest_with_ttl(snapshots: DataFrame, ttl_seconds: int, lateness: str = LATENESS) -> DataFrame:
+def latest_with_ttl(snapshots: DataFrame, ttl_seconds: int, lateness: str | None = None) -> DataFrame:
     """Latest whole snapshot per fixture, re-emitted with ``is_stale`` once event
-    time passes its ttl. One small row of state per fixture."""
+    time passes its ttl; one that arrives past its ttl is stale at once. Event time waits for late rows as long as the ttl,
+    unless told otherwise. One small row of state per fixture."""
+    lateness = lateness or f"{ttl_seconds} seconds"
+
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         (fixture,) = key
+        if fixture == CLOCK:
+            return
         best = state.get if state.exists else None
         if state.hasTimedOut:
             if best is not None:
@@ -53,12 +58,13 @@ def latest_with_ttl(snapshots: DataFrame, ttl_seconds: int, lateness: str = LATE
             if best is None or (row["fetched_at"], row["event_id"]) > (best[0], best[1]):
                 best = (row["fetched_at"].to_pydatetime(), int(row["event_id"]), row["status"], int(row["minute"]), int(row["home_score"]))
                 changed = True
+        expires = int(pd.Timestamp(best[0]).timestamp() * 1000) + ttl_seconds * 1000
+        alive = expires >= state.getCurrentWatermarkMs()
         if changed:
             state.update(best)
-            yield pd.DataFrame([(fixture, *best, False)], columns=[c.split()[0] for c in LATEST_SCHEMA.split(", ")])
-        expires = int(pd.Timestamp(best[0]).timestamp() * 1000) + ttl_seconds * 1000
-        if expires > state.getCurrentWatermarkMs():
-            state.setTimeoutTimestamp(expires)
+            yield pd.DataFrame([(fixture, *best, not alive)], columns=[c.split()[0] for c in LATEST_SCHEMA.split(", ")])
+        if alive:
+            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
 
     return snapshots.withWatermark("fetched_at", lateness).groupBy("fixture_id").applyInPandasWithState(
         update, LATEST_SCHEMA, LATEST_STATE, "update", GroupStateTimeout.EventTimeTimeout)
@@ -76,6 +82,8 @@ def in_play_stream(snapshots: DataFrame) -> DataFrame:
 FORM_SCHEMA = ("league int, team long, match_date date, matches_played_season long, std_ppg double, ewma_gf double, ewma_ga double, "
                "ewma_ppg double")
 FORM_STATE = "state string"
+#: Rows of this key only move event time on: a source sends them when all is over, so that the last days are played.
+CLOCK = -1
 
 
 def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float = S.EWMA_HALFLIFE,
@@ -108,6 +116,8 @@ def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float
         return out
 
     def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if key[0] == CLOCK:
+            return
         s = json.loads(state.get[0]) if state.exists else {
             "season": None, "w": 0.0, "x": [0.0] * 3, "n": 0, "sn": 0, "sp": 0.0, "last": None, "buffer": {}}
         out = []
@@ -138,10 +148,12 @@ def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float
 
 def missed_days(team_rows: DataFrame, emitted: DataFrame) -> DataFrame:
     """Team days at or before the last one emitted that the stream never played:
-    late results. From the earliest of a team on, its form needs the batch job."""
+    late results. From the earliest of a team on, its form needs the batch job.
+    For a team of which nothing was emitted, the last day emitted of any team counts."""
     reached = emitted.groupBy("league", "team").agg(F.max("match_date").alias("_reached"))
-    days = team_rows.select("league", "team", "match_date").distinct()
-    return days.join(reached, ["league", "team"]).where("match_date <= _reached").drop("_reached").join(
+    last = emitted.agg(F.max("match_date").alias("_last"))  # one row
+    days = team_rows.select("league", "team", "match_date").distinct().join(reached, ["league", "team"], "left").join(F.broadcast(last))
+    return days.where("match_date <= coalesce(_reached, _last)").drop("_reached", "_last").join(
         emitted.select("league", "team", "match_date"), ["league", "team", "match_date"], "left_anti")
 
 
