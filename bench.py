@@ -17,7 +17,7 @@ from touchline.sources.contests import contests  # noqa: E402
 HEADLINE = [
     "a7_parameter_schedule", "w3_w7_team_form", "e1_elo_ratings", "features_full", "p4_row_rules", "p5_duplicate_matches",
     "a21_pair_statistics", "m5_match_prediction", "k2_fold_metrics", "k3_selection", "m9_frozen_scoring", "x1_entity_tags",
-    "x3_intent_tags", "j13_as_of_lookup", "r2_latest_snapshot",
+    "x3_intent_tags", "j13_as_of_lookup", "r2_latest_snapshot", "f13_f14_j11_statistics", "m1_logistic_grid",
 ]
 
 

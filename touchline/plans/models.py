@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from touchline import schema as S
-from touchline.operators import classify, evaluate, explain, features, form, seasons
+from touchline.operators import classify, evaluate, explain, features, form, grids, seasons
 from touchline.operators.classify import LinearModel
 from touchline.operators.folds import assign_folds
 from touchline.operators.medians import exact_medians
@@ -161,36 +161,70 @@ def baselines(spark, sf):
     return elo_only.unionByName(trio)
 
 
+_GRIDS: dict = {}
+
+
+def grid_predictions(spark, sf, family):
+    """All points of a family on all folds, predicted for every validation row; fitted once per application and table."""
+    key = (spark.sparkContext.applicationId, sf, family)
+    if key not in _GRIDS:
+        rows = assign_folds(feature_table(spark, sf), FOLDS)
+        _GRIDS[key] = written(grids.grid_predictions(rows, [n for n, _, _ in FOLDS], [family], grids.FAMILIES[family]), "grid-predictions")
+    return _GRIDS[key]
+
+
+def _points_sql(*families):
+    points = ", ".join(f"('{p}')" for p, (family, _) in grids.POINTS.items() if family in families)
+    folds = ", ".join(f"({n}, {v})" for n, _, v in FOLDS)
+    return f"""WITH {Q.CONTESTS}, pt AS (SELECT * FROM (VALUES {points}) t(config_id)), fd AS (SELECT * FROM (VALUES {folds}) t(fold, season))
+SELECT config_id, fold, count(*) n_rows, count(*) FILTER (WHERE ftr = 'H') n_home, count(*) FILTER (WHERE ftr = 'D') n_draw, count(*) FILTER (WHERE ftr = 'A') n_away, 0 n_unsound
+FROM contests JOIN fd USING (season) CROSS JOIN pt GROUP BY ALL"""
+
+
+def point_counts(predictions):
+    """Rows and classes of every point and fold, and rows that break the probability contract."""
+    p = [F.col(c) for c in evaluate.PROBABILITIES]
+    sound = (F.least(*p) >= 0) & (F.abs(p[0] + p[1] + p[2] - 1.0) <= 1e-6) & ~F.isnan(p[0] + p[1] + p[2])
+    return predictions.groupBy("config_id", "fold").agg(
+        F.count("*").alias("n_rows"), *[F.count_if(F.col("y") == k).alias(n) for k, n in enumerate(("n_home", "n_draw", "n_away"))],
+        F.count_if(~F.coalesce(sound, F.lit(False))).alias("n_unsound"))
+
+
+@register("m1_logistic_grid", _points_sql("logreg"))
 def logistic_grid(spark, sf):
-    """All penalties and folds. Not registered yet: it has not been timed to its end."""
-    rows = assign_folds(feature_table(spark, sf), FOLDS)
-    out = None
-    for fold, _, _ in FOLDS:
-        train = rows.where((F.col("fold") == fold) & (F.col("part") == "train"))
-        val = rows.where((F.col("fold") == fold) & (F.col("part") == "validation"))
-        models = classify.fit_linear_grid(train, S.LINEAR_COLUMNS, classify.LOGREG_GRID)
-        for c, model in zip(classify.LOGREG_GRID, models):
-            one = classify.predict_linear(val, model).select(
-                "match_id", "fold", F.col("target").alias("y"), F.lit(f"logreg[C={c}]").alias("config_id"), *evaluate.PROBABILITIES)
-            out = one if out is None else out.unionByName(one)
-    return evaluate.config_summary(out, ["config_id"])
+    return point_counts(grid_predictions(spark, sf, "logreg"))
+
+
+@register("m2_forest_grid", _points_sql("forest"))
+def forest_grid(spark, sf):
+    return point_counts(grid_predictions(spark, sf, "forest"))
+
+
+@register("m3_boosted_grid", _points_sql("xgboost", "catboost"))
+def boosted_grid(spark, sf):
+    return point_counts(grid_predictions(spark, sf, "xgboost").unionByName(grid_predictions(spark, sf, "catboost")))
 
 
 @register("m2_random_forest_fold")
 def random_forest(spark, sf):
-    """One grid point on the last fold; the other points differ in two numbers."""
-    rows = assign_folds(feature_table(spark, sf), FOLDS[-1:])
-    keep = ["match_id", "fold", "target"]
-    scored = classify.forest_predictions(rows.where("part = 'train'"), rows.where("part = 'validation'"), S.FEATURE_COLUMNS, 6, 20, keep=keep)
-    return evaluate.fold_metrics(scored.withColumnRenamed("target", "y"), ["fold"])
+    """The metric suite of all six points on all folds."""
+    return evaluate.fold_metrics(grid_predictions(spark, sf, "forest"), ["config_id", "fold"])
 
 
 @register("m3_boosted_trees_fold")
 def boosted(spark, sf):
-    rows = assign_folds(feature_table(spark, sf), FOLDS[-1:])
-    keep = ["match_id", "fold", "target"]
-    scored = classify.boosted_predictions(rows.where("part = 'train'"), rows.where("part = 'validation'"), S.TRIO_COLUMNS, 2, 0.1, 20, keep=keep)
-    return evaluate.fold_metrics(scored.withColumnRenamed("target", "y"), ["fold"])
+    """The metric suite of all twenty points on all folds."""
+    return evaluate.fold_metrics(grid_predictions(spark, sf, "xgboost").unionByName(grid_predictions(spark, sf, "catboost")), ["config_id", "fold"])
+
+
+@register("k3_grid_selection")
+def grid_selection(spark, sf):
+    """The tie-aware selection over every grid point of all families."""
+    every = None
+    for family in grids.FAMILIES:
+        one = grid_predictions(spark, sf, family).withColumn("family", F.lit(family))
+        every = one if every is None else every.unionByName(one)
+    return evaluate.select_best(every, ["match_id", "fold", "y"], {"logreg": 0, "forest": 1, "xgboost": 2, "catboost": 3}, "family")
 
 
 @register("m14_s10_final_model")
