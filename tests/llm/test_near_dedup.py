@@ -57,8 +57,11 @@ def edited(rng, w, share):
     return [f"e{rng.randrange(10**6)}" if rng.random() < share else x for x in w]
 
 
-def test_chains_and_crowds(spark):
-    """Copies, chains whose ends are far apart, a crowd around one text, and texts just below the bound."""
+@pytest.mark.parametrize("block", [256, 5])
+def test_chains_and_crowds(spark, monkeypatch, block):
+    """Copies, chains whose ends are far apart, a crowd around one text, and texts just below the bound; also in small blocks."""
+    for name in ("MEMBERS", "QUERIES", "LOOKED"):
+        monkeypatch.setattr(N, name, block)
     rng = random.Random(5)
     rows, n = [], 0
     for family in range(6):

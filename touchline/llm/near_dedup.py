@@ -42,6 +42,7 @@ BITS = 16
 FAR = 46  # of SIGNATURE values: at 80 percent, more differ with a probability of about 1e-5
 MEMBERS = 256  # of a component in one block
 QUERIES = 1024  # against a block in one group
+LOOKED = 256  # members of a key in one block of the second round's look
 
 _R = np.random.default_rng(20240401)
 _XOR = _R.integers(0, 2**32, SIGNATURE, dtype=np.uint64).astype(np.uint32)
@@ -228,16 +229,15 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
 _WANT = pa.schema([("doc", pa.int64()), ("grp", pa.int64())])
 
 
-def _open_pairs(far: int):
-    """Streams rows (key, doc, component, weight, n, signature) sorted by key: (doc, other component) where a link is possible, if
-    this is the first key that the pair shares. The smaller component asks. Pairs stay inside the task."""
-    def look(key, doc, comp, weight, n, sig, rows):
-        shared = chunk_keys(sig)
-        first_of = np.arange(len(doc))
-        found = set()
+def _open_pairs(far: int, percent: int):
+    """Streams rows (key, part, block, doc, component, weight, n, signature) sorted by key and part: (doc, other component) where a
+    link is possible, if this is the first key that the pair shares. The smaller component asks. Pairs stay inside the task."""
+    def look(key, block, doc, comp, weight, n, sig):
+        shared, found = chunk_keys(sig), set()
+        cross = block.min() != block.max()  # of two blocks, only pairs between them: their own have parts of their own
         for i in range(len(doc) - 1):
-            j = first_of[i + 1 :]
-            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= rows * np.maximum(n[j], n[i]))]
+            j = np.arange(i + 1, len(doc))
+            j = j[(comp[j] != comp[i]) & (100 * np.minimum(n[j], n[i]) >= percent * np.maximum(n[j], n[i])) & ((block[j] != block[i]) if cross else True)]
             if not len(j):
                 continue
             j = j[(sig[j] != sig[i]).sum(1) <= far]
@@ -253,13 +253,12 @@ def _open_pairs(far: int):
         rest = None
 
         def done(tab: pa.Table) -> Iterator[pa.RecordBatch]:
-            keys = np.asarray(tab.column(0))
-            cuts = np.flatnonzero(first_of_run(keys))
-            sig = _as_signatures(tab.column(5).combine_chunks())
-            doc, comp, weight, n = (np.asarray(tab.column(k)) for k in range(1, 5))
+            keys, part, block, doc, comp, weight, n = (np.asarray(tab.column(k)) for k in range(7))
+            sig = _as_signatures(tab.column(7).combine_chunks())
+            cuts = np.flatnonzero(first_of_run(keys, part))
             every: set = set()
             for s, e in zip(cuts, np.append(cuts[1:], len(keys))):
-                every |= look(keys[s], doc[s:e], comp[s:e], weight[s:e], n[s:e], sig[s:e], PERCENT)
+                every |= look(keys[s], block[s:e], doc[s:e], comp[s:e], weight[s:e], n[s:e], sig[s:e])
             if every:
                 a, b = zip(*sorted(every))
                 yield out(_WANT, list(a), list(b))
@@ -270,8 +269,7 @@ def _open_pairs(far: int):
             tab = pa.Table.from_batches([batch])
             if rest is not None:
                 tab = pa.concat_tables([rest, tab])
-            keys = np.asarray(tab.column(0))
-            cut = int(np.flatnonzero(first_of_run(keys))[-1])  # the last key may go on
+            cut = int(np.flatnonzero(first_of_run(np.asarray(tab.column(0)), np.asarray(tab.column(1))))[-1])  # the last group may go on
             if cut:
                 yield from done(tab.slice(0, cut))
             rest = tab.slice(cut)
@@ -304,8 +302,14 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     weight = first.groupBy("component").agg(F.count("*").alias("weight"))
     looked = (placed.join(open_keys, "key").join(weight, "component", "left").withColumn("weight", F.coalesce("weight", F.lit(1)))
               .join(classes.select("doc", F.col("n_shingles").alias("n"), "signature"), "doc").select("key", "doc", "component", "weight", "n", "signature"))
-    looked = looked.repartition(partitions(looked), "key").sortWithinPartitions("key", "doc")
-    wanted = written(mapped(looked, _open_pairs(FAR), "doc long, grp long").distinct(), "near-wanted")
+    # A key's members are cut into blocks; every two blocks, and every block alone, are one part.
+    size_of = placed.join(open_keys, "key").groupBy("key").agg(F.ceil(F.count("*") / LOOKED).cast("int").alias("blocks"))
+    looked = looked.join(written(size_of, "near-sizes"), "key").withColumn("block", F.pmod(F.xxhash64("doc"), "blocks").cast("int"))
+    looked = looked.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    part = F.least("block", "other") * F.col("blocks") + F.greatest("block", "other")
+    looked = looked.select("key", part.alias("part"), "block", "doc", "component", "weight", "n", "signature")
+    looked = looked.repartition(partitions(looked), "key", "part").sortWithinPartitions("key", "part", "doc")
+    wanted = written(mapped(looked, _open_pairs(FAR, percent), "doc long, grp long").distinct(), "near-wanted")
     groups = wanted.select("grp").distinct()
     members = involved.join(first, "doc", "left").select("doc", F.coalesce("component", "doc").alias("grp")).join(groups, "grp")
     more = written(confirmed(wanted, members.select("grp", "doc"), known, size, percent), "near-more")
