@@ -204,7 +204,9 @@ def goal_model_fit(spark, sf):
 @register("j15_config_fold_matrix", f"WITH {Q.CONTESTS}, {FOLD_SQL} SELECT DISTINCT league, fold, config_id FROM contests JOIN fd ON season <= cutoff, "
           "(VALUES ('poisson'), ('poisson_l2'), ('dixon_coles'), ('dixon_coles_l2'), ('dixon_coles_l2_decay')) c(config_id)")
 def config_fold_matrix(spark, sf):
-    return all_fits(spark, sf).select("league", "fold", "config_id").distinct()
+    """From the folds and configurations alone; nothing is fitted for it."""
+    rows = folding.assign_folds(contests(spark, sf).select("league", "season"), FOLDS).where("part = 'train'").select("league", "fold").distinct()
+    return rows.withColumn("config_id", F.explode(F.array(*[F.lit(c) for c in goals.CONFIGS])))
 
 
 @register("u5_goal_model_out_of_fold")

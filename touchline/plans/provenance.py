@@ -47,7 +47,7 @@ def goal_parameters(spark, sf):
     """Parameters written as JSON, read back, and used to rate every pairing."""
     c = contests(spark, sf)
     path = fresh_path(spark, "goal-parameters")
-    provenance.write_goal_parameters(moment_fits(spark, sf).where("team % 10 <> 3"), goals.promoted_offsets(c, FOLDS), path, ["1999", "2000"])
+    provenance.write_goal_parameters(moment_fits(spark, sf).where("team % 10 <> 3"), goals.promoted_offsets(c, FOLDS), path, c)
     fits, offsets = provenance.read_goal_parameters(spark, path)
     pairs = c.select("league", F.col("home").cast("string").alias("home"), F.col("away").cast("string").alias("away")).distinct().withColumn("fold", F.lit(3))
     rated = goals.attach_strengths(pairs, fits, offsets, ["league", "fold"])
@@ -89,3 +89,19 @@ def truncation_probe(spark, sf):
     b = written(probe_state(c.where("season <= 1998")), "probe-b")
     changed = a.exceptAll(b).count() + b.exceptAll(a).count()
     return a.agg(F.count("*").alias("n_before"), F.lit(changed).cast("long").alias("n_changed"))
+
+
+@register("k7_same_date_probe", f"WITH {Q.TEAM_ROWS} SELECT count(DISTINCT (league, team, match_date)) n_before, 0 n_changed FROM tr "
+          "WHERE match_date = (SELECT max(match_date) FROM tr WHERE season = 2000)")
+def same_date_probe(spark, sf):
+    """Turning the results of one date, a row's own and those of the same day, and the order of the rows must not change that date's rows."""
+    c = contests(spark, sf)
+    day = c.where("season = 2000").agg(F.max("match_date")).first()[0]
+    here = F.col("match_date") == F.lit(day)
+    turned = c.withColumns({"fthg": F.when(here, F.col("ftag") + 3).otherwise(F.col("fthg")), "hst": F.when(here, F.col("ast") + 4).otherwise(F.col("hst"))}) \
+        .withColumn("ftr", F.when(F.col("fthg") > F.col("ftag"), "H").when(F.col("fthg") < F.col("ftag"), "A").otherwise("D")).repartition(7, "away")
+    schedule = causal.parameter_schedule(c)  # the season's own parameters come from earlier seasons
+    a = written(probe_state(c, schedule).where(here), "probe-a")
+    b = written(probe_state(turned, schedule).where(here), "probe-b")
+    changed = a.exceptAll(b).count() + b.exceptAll(a).count()
+    return a.agg(F.count("*").alias("n_before"), F.lit(changed).cast("long").alias("n_changed"))

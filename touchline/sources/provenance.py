@@ -93,13 +93,17 @@ def provenance_violations(spark: SparkSession, path: str, seasons: list) -> list
 PARAMETER_SCHEMA = (
     "params struct<config_id:string,intercept:double,home_advantage:double,rho:double,attack:map<string,double>,"
     "defence:map<string,double>,promoted_attack_offset:double,promoted_defence_offset:double>, "
-    "metadata struct<training_cutoff_season:string,training_seasons:array<string>,sealed_final_test_scored:boolean>"
+    "metadata struct<training_cutoff_season:string,training_seasons:array<string>,training_matches:bigint,sealed_final_test_scored:boolean>"
 )
 
 
-def write_goal_parameters(fits: DataFrame, offsets: DataFrame, path: str, training_seasons: list[str]) -> None:
+def write_goal_parameters(fits: DataFrame, offsets: DataFrame, path: str, training: DataFrame) -> None:
     """One JSON document per (league, fold, config). A document holds one number
-    per club, so a group is bounded by the league's clubs."""
+    per club, so a group is bounded by the league's clubs. ``training``: the rows that were fitted, for cutoff, seasons and number."""
+    seen = training.agg(F.sort_array(F.collect_set(F.col("season").cast("string"))).alias("seasons"), F.count("*").alias("n")).first()
+    training_seasons = seen["seasons"]
+    if not training_seasons:
+        raise ValueError("no training rows")
     rows = fits.where("status = 'fitted'").join(offsets, ["league", "fold"])
     params = rows.groupBy("league", "fold", "config_id").agg(F.struct(
         F.first("config_id").alias("config_id"), F.first("intercept").alias("intercept"), F.first("home_advantage").alias("home_advantage"),
@@ -108,6 +112,7 @@ def write_goal_parameters(fits: DataFrame, offsets: DataFrame, path: str, traini
         F.map_from_entries(F.collect_list(F.struct(F.col("team").cast("string"), "defence"))).alias("defence"),
         F.first("promoted_attack").alias("promoted_attack_offset"), F.first("promoted_defence").alias("promoted_defence_offset")).alias("params"))
     meta = F.struct(F.lit(training_seasons[-1]).alias("training_cutoff_season"), F.array(*[F.lit(s) for s in training_seasons]).alias("training_seasons"),
+                    F.lit(seen["n"]).alias("training_matches"),
                     F.lit(False).alias("sealed_final_test_scored"))
     params.select("league", "fold", "params", meta.alias("metadata")).write.json(path)
 
