@@ -24,7 +24,7 @@ def pick(values, index):
     return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
 
 
-def live_json(spark, sf):
+def live_json_path(spark, sf):
     """Every contest as one live entry, written as JSON files."""
     id_ = F.col("match_id")
     name = lambda c: F.concat(F.lit("Club "), F.col(c).cast("string"), F.lit(" FC"))
@@ -53,7 +53,11 @@ def live_json(spark, sf):
         F.lit("2024-01-01T00:00:00.000Z").alias("fetched_at"))
     path = fresh_path(spark, "live-json")
     entry.write.json(path)
-    return provider_json.read_live(spark, path)
+    return path
+
+
+def live_json(spark, sf):
+    return provider_json.read_live(spark, live_json_path(spark, sf))
 
 
 def aliases(spark, sf):
