@@ -124,7 +124,21 @@ def entity_tags_words(spark, sf):
     return teams.tag_entities(table(spark, sf, "documents"), "doc_id", "text", dictionary(spark, sf, 1), 1)
 
 
-@register("x1_entity_tags")
+@register("x1_entity_tags", f"""WITH RECURSIVE item AS (SELECT alias, min(item_id)::VARCHAR canonical_id FROM (
+    SELECT item_id, unnest([w[1], array_to_string(w[2:3], ' '), array_to_string(w[4:6], ' ')]) alias FROM (SELECT item_id, string_split({name_sql('text')}, ' ') w FROM benchmark)) GROUP BY 1),
+gram AS (SELECT doc_id, start, n.span, array_to_string(t[start : start + n.span - 1], ' ') alias
+  FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) start FROM (SELECT doc_id, string_split({name_sql('text')}, ' ') t FROM documents)), (VALUES (1), (2), (3)) n(span) WHERE start + n.span - 1 <= len(t)),
+hit AS MATERIALIZED (SELECT doc_id, start, span, canonical_id, alias FROM gram JOIN item USING (alias)),
+long AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY span DESC, start) rn FROM hit WHERE span > 1),
+walk AS (SELECT doc_id, rn, true ok, range(start, start + span) taken FROM long WHERE rn = 1
+  UNION ALL SELECT l.doc_id, l.rn, NOT list_has_any(w.taken, range(l.start, l.start + l.span)),
+    CASE WHEN list_has_any(w.taken, range(l.start, l.start + l.span)) THEN w.taken ELSE list_concat(w.taken, range(l.start, l.start + l.span)) END
+  FROM walk w JOIN long l ON l.doc_id = w.doc_id AND l.rn = w.rn + 1),
+good AS (SELECT l.* FROM long l JOIN walk w ON w.doc_id = l.doc_id AND w.rn = l.rn WHERE w.ok),
+accepted AS (SELECT doc_id, start, span, canonical_id, alias FROM good UNION ALL
+  SELECT * FROM hit h WHERE span = 1 AND NOT EXISTS (SELECT 1 FROM good g WHERE g.doc_id = h.doc_id AND h.start >= g.start AND h.start < g.start + g.span)),
+firsts AS (SELECT *, row_number() OVER (PARTITION BY doc_id, canonical_id ORDER BY span DESC, start) k FROM accepted)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY start) mention, canonical_id, alias mentioned_as FROM firsts WHERE k = 1""")
 def entity_tags(spark, sf):
     return teams.tag_entities(table(spark, sf, "documents"), "doc_id", "text", dictionary(spark, sf, 3), 3)
 
