@@ -45,6 +45,12 @@ def test_queries(spark):
             assert set(want["text"].split(",")) <= set(r["spans"].split(","))
 
 
+def test_failed_checksums_are_not_added(spark):
+    rows = [(i, f"pay by card {n} today") for i, n in enumerate(["4111111111111111", "4111111111111112", "5927243074273351"] * 3)]
+    got = {r["doc_id"]: r for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all((len(r["base"]), len(r["added"])) == (int(i % 3 == 0), 0) for i, r in got.items())
+
+
 def test_labelers_agree_on_what_is_likely():
     patterns = {"email,1,1,1,1,1": 60, "email,-1,1,1,1,1": 10, "card,-1,-1,0,-1,-1": 30, "card,1,1,0,1,1": 20}
     belief, rates = pii.reliabilities(patterns)

@@ -4,7 +4,8 @@ Base spans (e-mail, IP, payment card, phone) are exact rules and always stay. Fu
 patterns. Every candidate, base ones included, gets the votes of five labelers: the strict rule, a gazetteer, cue words
 around it, its shape and its borders; each says yes, no or nothing. Expectation-maximisation over the counts of vote
 patterns estimates each labeler's reliability and the probability of each pattern. A logistic classifier of kind and
-votes is trained on those probabilities, over all candidates, and admits further spans from one half on.
+votes is trained on those probabilities, over all candidates, and admits further spans from one half on. Numbers that
+only fail the card checksum are candidates for the estimation; they are never admitted.
 
 Only built-in functions touch the texts. The driver sees vote patterns with their counts, at most KINDS * 3**5 rows.
 
@@ -39,6 +40,7 @@ LOOSE = [
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
     ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?", None),
 ]
+LOOSE_RANK = 10
 KINDS = ["email", "ip", "card", "phone", "id", "name"]
 LABELERS = ["rule", "gazetteer", "context", "shape", "border"]
 _PART = "0*(?:25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
@@ -83,9 +85,9 @@ def found(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
         df = df.withColumn(f"_b{rank}", S.find_spans(text, pattern, kind, rank, F.contains(text, F.lit(sub)) if sub else None))
     good = [F.filter(f"_b{k}", HOLDS[kind]) for k, (kind, _, _) in enumerate(BASE)]
     df = df.withColumn("base", F.array_sort(F.concat(*good)))
-    # Card-like numbers that fail the checksum are candidates too.
+    # Card-like numbers that fail the checksum help to judge the labelers, but are never admitted.
     near = F.filter("_b2", lambda s: F.length(_digits(s["value"])).between(14, 19) & ~_luhn(s["value"]))
-    loose = [S.find_spans(text, pattern, kind, 10 + k, F.contains(text, F.lit(sub)) if sub else None) for k, (kind, pattern, sub) in enumerate(LOOSE)]
+    loose = [S.find_spans(text, pattern, kind, LOOSE_RANK + k, F.contains(text, F.lit(sub)) if sub else None) for k, (kind, pattern, sub) in enumerate(LOOSE)]
     df = df.withColumn("loose", S.without_overlaps(S.apart(F.concat(near, *loose), F.col("base"))))
 
     def around(s, strict):
@@ -176,7 +178,7 @@ def personal_data(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
             score = score + F.when(c["kind"] == k, F.lit(weights.get(k, 0.0))).otherwise(0.0)
         for name, v in votes(c).items():
             score = score + F.when(v > 0, F.lit(weights.get(f"{name}1", 0.0))).when(v < 0, F.lit(weights.get(f"{name}-1", 0.0))).otherwise(0.0)
-        return ~c["strict"] & (score >= 0)
+        return ~c["strict"] & (c["rank"] >= LOOSE_RANK) & (score >= 0)
 
     kept = F.transform(F.filter("candidates", admitted), lambda c: F.struct(
         c["start"].alias("start"), c["rank"].alias("rank"), c["kind"].alias("kind"), c["end"].alias("end"), c["value"].alias("value")))
