@@ -3,7 +3,6 @@ incumbent rule."""
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F

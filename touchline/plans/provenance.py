@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from touchline import schema as S
 from touchline.operators import causal, elo, form, goals, seasons
 from touchline.plans import sqltext as Q
 from touchline.plans.goals import FOLDS, RATED, moment_fits
