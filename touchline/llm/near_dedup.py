@@ -42,7 +42,7 @@ BITS = 16
 FAR = 46  # of SIGNATURE values: at 80 percent, more differ with a probability of about 1e-5
 MEMBERS = 256  # of a component in one block
 QUERIES = 1024  # against a block in one group
-LOOKED = 256  # members of a key in one block of the second round's look
+LOOKED = 2048  # members of a key in one block of the second round's look
 
 _R = np.random.default_rng(20240401)
 _XOR = _R.integers(0, 2**32, SIGNATURE, dtype=np.uint64).astype(np.uint32)
