@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,12 +36,9 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **mor
     return df.withColumns({"doc_id": F.col("doc_id").cast("long"), "text": F.coalesce(F.col("text").cast("string"), F.lit(""))})
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``ids`` (one column); columns unchanged, whatever their names.
-    Rows without an id stay."""
-    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    gone = ids.toDF("gone")
-    return plain.join(gone, plain[f"c{docs.columns.index(id_col)}"] == gone["gone"], "left_anti").toDF(*docs.columns)
+def same(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
+    """Equality of the columns ``key`` of ``left`` with the columns of ``right``, one after the other; null equals null."""
+    return reduce(Column.__and__, [left[a].eqNullSafe(right[b]) for a, b in zip(key, right.columns)])
 
 
 def bounded_sample(df: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:

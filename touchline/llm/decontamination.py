@@ -13,7 +13,8 @@ Only built-in functions touch the texts. Words are `[^\\x20\\x09-\\x0D]+`, A-Z i
 their number and bytes; beyond it Spark joins by shuffle, with the same result.
 
 Defined cases: null text has no words; a text with fewer words than a shingle is one shingle of all its words, without words
-it has none and is neither contained nor contaminated; rows with one id count as one document; items with equal
+it has none and is neither contained nor contaminated; rows with one id count as one document, and so do the rows without
+an id in ``contained``; ``without_leaks`` judges each row without an id by its own text; items with equal
 texts are all reported; an empty table on either side gives an empty result.
 """
 
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.common import SPACE, table, texts, without_ids
+from touchline.llm.common import SPACE, same, table, texts
 from touchline.session import written
 
 SHINGLE = 5
@@ -32,7 +33,7 @@ BROADCAST_ROWS = 500_000  # of sketch hashes, 24 bytes each
 BROADCAST_BYTES = 32_000_000  # of item shingles as text
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+_KEY = ["doc_id", "nameless"]  # a document; the second one is null, or tells rows without an id apart
 
 
 
@@ -77,38 +78,48 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, item_id) that share enough of the item's sketch, by size class."""
+    """(doc_id, nameless, item_id) that share enough of the item's sketch, by size class."""
     marks = written(sketches(items, threshold), "bench-sketches")
     # Nothing above the largest sketch hash of any size class can be in a sketch.
     top = marks.groupBy("size_class").agg(F.max("h").alias("top")).agg(F.max("top")).first()[0]
     column, df = hashed_shingles(docs)
-    seen = df.select("doc_id", F.explode(F.filter(column, lambda h: h <= F.lit(top if top is not None else -(2**63)))).alias("h"))
+    seen = df.select(*_KEY, F.explode(F.filter(column, lambda h: h <= F.lit(top if top is not None else -(2**63)))).alias("h"))
     hits = seen.join(_small(marks.select("item_id", "size_class", "need", "h"), BROADCAST_ROWS), "h")
-    return (hits.groupBy("doc_id", "item_id", "need").agg(F.collect_set("h").alias("seen"))  # at most a sketch; summed up before the shuffle
-            .where(F.size("seen") >= F.col("need")).select("doc_id", "item_id"))
+    return (hits.groupBy(*_KEY, "item_id", "need").agg(F.collect_set("h").alias("seen"))  # at most a sketch; summed up before the shuffle
+            .where(F.size("seen") >= F.col("need")).select(*_KEY, "item_id"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, *, id_col: str = "doc_id", text_col: str = "text",
               item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, n_shingles, n_found, containment) of every item that a document contains."""
-    docs = texts(docs, id_col, text_col)
+    docs = texts(docs, id_col, text_col).withColumn("nameless", F.lit(None).cast("long"))
     items = texts(items, item_id_col, item_text_col).withColumnRenamed("doc_id", "item_id")
-    found = written(candidates(docs, items, threshold).select("doc_id").distinct(), "bench-candidates")
-    column, df = exact_shingles(docs.join(found, "doc_id", "left_semi"))
-    shown = df.select("doc_id", F.explode(column).alias("shingle"))
+    return _contained(docs, items, threshold).drop("nameless")
+
+
+def _contained(docs: DataFrame, items: DataFrame, threshold: float) -> DataFrame:
+    """The same of docs (doc_id, nameless, text) and items (item_id, text), with ``nameless``."""
+    found = written(candidates(docs, items, threshold).select(*_KEY).distinct(), "bench-candidates").toDF("id", "no_name")
+    column, df = exact_shingles(docs.join(found, same(docs, found, _KEY), "left_semi"))
+    shown = df.select(*_KEY, F.explode(column).alias("shingle"))
     item_column, item_df = exact_shingles(items)
     wanted = written(item_df.select("item_id", F.explode(item_column).alias("shingle"), F.size(item_column).alias("n_shingles")), "bench-shingles")
     bytes_ = wanted.agg(F.sum(F.octet_length("shingle") + 40)).first()[0] or 0
-    hits = shown.join(F.broadcast(wanted) if bytes_ <= BROADCAST_BYTES else wanted, "shingle").select("doc_id", "item_id", "n_shingles", "shingle").distinct()
-    counted = hits.groupBy("doc_id", "item_id", "n_shingles").agg(F.count("*").alias("n_found"))
+    hits = shown.join(F.broadcast(wanted) if bytes_ <= BROADCAST_BYTES else wanted, "shingle").select(*_KEY, "item_id", "n_shingles", "shingle").distinct()
+    counted = hits.groupBy(*_KEY, "item_id", "n_shingles").agg(F.count("*").alias("n_found"))
     return (counted.where(F.col("n_found") >= F.ceil(F.col("n_shingles") * threshold - 1e-9))
-            .select("doc_id", "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")))
+            .select(*_KEY, "item_id", F.col("n_shingles").cast("long").alias("n_shingles"), "n_found", (F.col("n_found") / F.col("n_shingles")).alias("containment")))
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that contain no item; the columns of docs, unchanged."""
-    bad = written(contained(docs, items, threshold).select("doc_id").distinct(), "bench-leaks")
-    return without_ids(docs, bad)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    id_, text = (F.col(f"c{docs.columns.index(c)}") for c in ("doc_id", "text"))
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    keyed = plain.withColumns({"doc_id": id_.cast("long"), "nameless": F.when(id_.cast("long").isNull(), F.xxhash64(text))})
+    items = texts(items, "item_id").withColumnRenamed("doc_id", "item_id")
+    bad = written(_contained(keyed.select(*_KEY, text.alias("text")), items, threshold).select(*_KEY).distinct(), "bench-leaks").toDF("id", "no_name")
+    return keyed.join(bad, same(keyed, bad, _KEY), "left_anti").drop(*_KEY).toDF(*docs.columns)
 
 
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ Every link between classes that share a key is thus either confirmed or inside o
 are found by repeatedly joining neighbours to their least neighbour.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts of fewer words than a shingle have one shingle,
-all their words; rows that repeat an id are one document in the result's links and each a row; a null id stands before all others; an empty table
+all their words; rows that repeat an id are one document in the result's links and each a row (``first_of_each`` keeps one row of a group, whatever their ids); a null id stands before all others; an empty table
 gives an empty result.
 """
 
@@ -30,8 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm.common import (NULL_ID, as_bytes, as_ids, batch_hashes, blocks, first_of_run, mapped, mix, out, owner_of, partitions, table, texts, windows,
-                                  without_ids)
+from touchline.llm.common import (NULL_ID, as_bytes, as_ids, batch_hashes, blocks, first_of_run, mapped, mix, out, owner_of, partitions, table, texts, windows)
 from touchline.session import written
 
 SHINGLE = 5
@@ -322,8 +321,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
 
 def first_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` without near copies of documents of smaller id; the columns of docs, unchanged."""
-    return without_ids(docs, written(near_duplicates(docs, size, percent).where("NOT kept").select("doc_id"), "near-gone"))
+    """One row of each group of near copies, that of least id, null before all others; the columns of docs, unchanged.
+    Rows are told apart by a number of their own, so those without an id or with one id are rows as any other."""
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    rows = written(plain.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    id_, text = (f"c{docs.columns.index(c)}" for c in ("doc_id", "text"))
+    marks = near_duplicates(rows.select("row", F.col(text).alias("text")), size, percent, id_col="row")
+    marks = written(marks.select(F.col("doc_id").alias("row"), "component_id", "kept"), "near-marks")
+    groups = marks.where("NOT kept").select("component_id").distinct()
+    members = written(marks.join(groups, "component_id").join(rows.select("row", F.col(id_).cast("long").alias("id")), "row"), "near-members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNotNull().alias("named"), "id", "row"))["row"].alias("first"))
+    gone = members.join(first, "component_id").where("row <> first").select("row")
+    return rows.join(written(gone, "near-gone"), "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def op4_near_dedup(spark, sf_dir: str) -> DataFrame:
