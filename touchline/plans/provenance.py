@@ -9,7 +9,7 @@ from touchline.plans import sqltext as Q
 from touchline.plans.goals import FOLDS, RATED, moment_fits
 from touchline.plans.models import feature_table
 from touchline.plans.registry import r, register
-from touchline.session import fresh_path, written
+from touchline.session import fresh_path, refuse_if_any, written
 from touchline.sources import provenance
 from touchline.sources.contests import contests
 
@@ -43,7 +43,7 @@ def refuse_overwrite(spark, sf):
 
 @register("s10_goal_parameters", RATED + f" SELECT league, home, away, {r('lh')} rate_home, {r('la')} rate_away FROM rated")
 def goal_parameters(spark, sf):
-    """Parameters written as JSON, read back, and used to rate every pairing."""
+    """Parameters written as JSON, read back, and used to rate every pairing. The rates are moments of all seasons, not a fit; that is ``final_goal_model``."""
     c = contests(spark, sf)
     path = fresh_path(spark, "goal-parameters")
     provenance.write_goal_parameters(moment_fits(spark, sf).where("team % 10 <> 3"), goals.promoted_offsets(c, FOLDS), path, c)
@@ -53,6 +53,25 @@ def goal_parameters(spark, sf):
     return rated.select("league", F.col("home").cast("long").alias("home"), F.col("away").cast("long").alias("away"), "rate_home", "rate_away")
 
 
+FROZEN = "dixon_coles_l2_decay"
+SEALED = 2001
+
+
+@register("m14_s10_goal_model")
+def final_goal_model(spark, sf):
+    """Fit the frozen goal model on all contests before the sealed season, write it, read it back and check what it was fitted on."""
+    c = contests(spark, sf).where(F.col("season") < SEALED)
+    fold = [(4, SEALED - 1, SEALED)]
+    pairs = goals.fold_pair_statistics(goals.season_pair_statistics(c), fold)
+    fits = written(goals.fit_goal_models(pairs, {FROZEN: goals.CONFIGS[FROZEN]}), "final-goal-fit")
+    refuse_if_any(fits.where("status <> 'fitted'"), "final-goal-unfitted", "goal model not fitted")
+    path = fresh_path(spark, "final-goal-model")
+    provenance.write_goal_parameters(fits, goals.promoted_offsets(c, fold), path, c)
+    seen = provenance.checked_training(spark, path, str(SEALED - 1), c.count())
+    read, offsets = provenance.read_goal_parameters(spark, path, sealed=str(SEALED))
+    return read.join(offsets, ["league", "fold"]).join(F.broadcast(seen), ["league", "fold"]).drop("fold", "status").withColumn("team", F.col("team").cast("long"))
+
+
 def probe_state(matches, schedule=None):
     """Pre-match form and ratings of every team day."""
     m = seasons.with_season_index(matches)

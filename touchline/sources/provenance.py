@@ -134,3 +134,13 @@ def read_goal_parameters(spark: SparkSession, path: str, sealed: str = S.SEALED_
         F.lit("fitted").alias("status"))
     offsets = docs.select("league", "fold", p["promoted_attack_offset"].alias("promoted_attack"), p["promoted_defence_offset"].alias("promoted_defence"))
     return fits, offsets
+
+
+def checked_training(spark: SparkSession, path: str, cutoff: str, matches: int) -> DataFrame:
+    """(league, fold, training_cutoff_season, training_matches) of written parameters; refused unless all were fitted on that many
+    matches up to that season."""
+    docs = spark.read.schema("league int, fold int, " + PARAMETER_SCHEMA).json(path).select("league", "fold", "metadata.*")
+    sound = ((F.col("training_cutoff_season") == cutoff) & (F.col("training_matches") == matches) & (F.array_max("training_seasons") == cutoff))
+    if docs.where(F.coalesce(~sound, F.lit(True))).limit(1).count():
+        raise ValueError(f"{path} was not fitted on {matches} matches up to {cutoff}")
+    return docs.select("league", "fold", "training_cutoff_season", "training_matches")
