@@ -1,9 +1,9 @@
-"""Benchmark decontamination: size-partitioned MinHash containment search, verified by exact containment.
+"""Benchmark decontamination: MinHash containment search, verified by exact containment.
 
 An item is contained in a document if at least ``THRESHOLD`` of its distinct shingles of ``SHINGLE`` words are shingles of
-the document, however long that is. Items are partitioned by the number of their shingles, in powers of two. An
-item's sketch is its ``SKETCH`` shingles of least hash; of an item with no more shingles, that is all of them. In each size
-partition the documents' shingles are compared with the sketches only, so a document needs no sketch of its own
+the document, however long that is. The size class of an item is told, but the search is not partitioned by it. An
+item's sketch is its ``SKETCH`` shingles of least hash; of an item with no more shingles, that is all of them.
+The documents' shingles are compared with the sketches only, so a document needs no sketch of its own
 and its length does not matter. A document is a candidate for an item if it holds enough of the sketch: fewer than
 ``(1 - THRESHOLD) * n`` of an item's n shingles may be missing, and not more of its sketch can be missing than that, so
 the least number of sketch shingles that an item in a document must show is exact, and no item is lost. Where
@@ -78,7 +78,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 
 def candidates(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, nameless, item_id) that share enough of the item's sketch, by size class."""
+    """(doc_id, nameless, item_id) that share enough of the item's sketch."""
     marks = written(sketches(items, threshold), "bench-sketches")
     # Nothing above the largest sketch hash of any size class can be in a sketch.
     top = marks.groupBy("size_class").agg(F.max("h").alias("top")).agg(F.max("top")).first()[0]
