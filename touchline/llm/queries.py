@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontamination, html_text, mixing, near_dedup, perplexity, pii, quality_model, secrets, substring_dedup, token_output, whitening
+from touchline.llm import decontamination, hard_negatives, html_text, mixing, near_dedup, perplexity, pii, quality_model, secrets, substring_dedup, token_output, whitening
 
 QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_token_output": token_output.op8_token_output,
     "op9_mixing": mixing.op9_mixing,
     "op11_whitening": whitening.op11_whitening,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
 }
 
 ORACLES = {"op5_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
