@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from touchline.llm import decontamination, hard_negatives, html_text, mixing, near_dedup, perplexity, pii, quality_model, secrets, substring_dedup, token_output, whitening
+from touchline.llm import decontamination, hard_negatives, html_text, mixing, near_dedup, perplexity, pii, quality_model, secrets, substring_dedup, token_output, toxicity, whitening
 
 QUERIES = {
     "op4_near_dedup": near_dedup.op4_near_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_mixing": mixing.op9_mixing,
     "op11_whitening": whitening.op11_whitening,
     "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_toxicity": toxicity.op13_toxicity,
 }
 
 ORACLES = {"op5_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
