@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from touchline.operators import form, seasons
 from touchline.plans import streams
 from touchline.sources.contests import contests
+from touchline.streaming import form as live
 from touchline.streaming import live as stream
 
 SF = "/root/testdata/sf0.001"
@@ -46,27 +47,28 @@ def batch_form(spark):
 
 
 def test_stream_form_equals_batch(spark):
-    got = streams.form_result(spark, SF)
+    """Every form column of every team day."""
+    rows = streams.form_result(live.results_of(streams.form_rows(spark, SF))).collect()
     batch = batch_form(spark)
-    rows = got.collect()
     assert {(r["league"], r["team"], r["match_date"]) for r in rows} == set(batch) and len(rows) == len(batch)
     for r in rows:
         b = batch[r["league"], r["team"], r["match_date"]]
-        assert r["matches_played_season"] == b["matches_played_season"]
-        for c in ("std_ppg", "ewma_gf", "ewma_ga", "ewma_ppg"):
-            assert (r[c] is None) == (b[c] is None)
-            assert r[c] is None or r[c] == pytest.approx(b[c], abs=1e-9)
+        for c in live.FORM_COLUMNS:
+            assert (r[c] is None) == (b[c] is None), c
+            assert r[c] is None or r[c] == pytest.approx(b[c], abs=1e-9), c
 
 
 def test_late_days_are_found(spark, tmp_path):
-    """A month that arrives after the watermark has passed it is reported, day by day."""
-    rows = streams.form_rows(spark, SF)
+    """A month that arrives after the watermark has passed it is reported, day by day, and row by row."""
+    rows = live.results_of(streams.form_rows(spark, SF))
     late = F.col("match_date").between("1996-03-01", "1996-03-31")
     for part in (rows.where(~late & (F.col("season") <= 1997)), rows.where("season = 1998"), rows.where(late), rows.where("season > 1998")):
         part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     schema = spark.read.parquet(str(tmp_path / "in")).schema
     source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    stream.run_to_table(stream.form_stream(source), str(tmp_path / "out"), str(tmp_path / "cp"))
-    missed = stream.missed_days(rows, spark.read.parquet(str(tmp_path / "out")))
+    stream.run_to_table(live.live_form(source), str(tmp_path / "out"), str(tmp_path / "cp"))
+    told = spark.read.parquet(str(tmp_path / "out"))
+    missed = live.missed_days(rows, told.where("kind = 'played'"))
     assert missed.where(~late).count() == 0
     assert missed.count() == rows.where(late).select("league", "team", "match_date").distinct().count()
+    assert told.where("kind = 'late'").count() == rows.where(late).count()

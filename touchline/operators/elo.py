@@ -1,11 +1,13 @@
 """Sequential ratings.
 
 The update is a coupled recurrence over dates, so it cannot be a window
-function. Spark first folds the matches into (day, home, away) totals - the sum
-of the deltas of equal fixtures depends only on their number and total score -
-so the rows one league hands to its pass are bounded by the distinct pairings
-per day, not by the number of matches. The pass itself reads Arrow batches in
-date order and keeps one number per team.
+function. Spark first folds the matches into (day, home, away) totals: the sum
+of the deltas of equal fixtures depends only on their number and total score.
+
+Two forms give the same ratings. A pass reads one league's log as Arrow batches
+in date order and keeps one number per team: few jobs, one task a league. The
+form by levels plays all contests that do not need each other at once, in joins
+and aggregations over all leagues: as many jobs as levels, no group at all.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.ratings import expectancy
 from touchline.operators.seasons import classify_team_seasons, team_seasons, with_season_index
+from touchline.session import fresh_path, written
 
 RATING_SCHEMA = "league int, season_idx int, match_date date, team long, elo double"
 
@@ -125,74 +128,106 @@ def _rating_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def ratings(matches: DataFrame, schedule: DataFrame) -> DataFrame:
-    """Rating of every team before each of its match days."""
-    log = rating_events(matches, schedule)
+#: Rows of one league's log up to which its pass runs in one task; beyond, all leagues go by levels.
+PASS_ROWS = 2_000_000
+
+
+def ratings(matches: DataFrame, schedule: DataFrame, pass_rows: int = PASS_ROWS) -> DataFrame:
+    """Rating of every team before each of its match days: a pass a league, or by levels where a league's log is too long for one task."""
+    log = written(rating_events(matches, schedule), "rating-log")
+    longest = log.groupBy("league").count().agg(F.max("count")).first()[0]
+    if (longest or 0) > pass_rows:
+        return _by_levels(log)
     ordered = log.repartition("league").sortWithinPartitions("league", "season_idx", "step", "match_date")
     return ordered.groupBy("league").applyInArrow(_rating_pass, RATING_SCHEMA)
 
 
-def ratings_by_rounds(matches: DataFrame, schedule: DataFrame) -> DataFrame:
-    """The same recurrence as DataFrame rounds: one join and one aggregation per
-    round index, for all leagues at once. No task sees more than its share of a
-    round, at the price of one job chain per match day; lineage is cut with
-    reliable checkpoints."""
-    events = rating_events(matches, schedule)
-    rounds = events.where("step = 1").select("league", "season_idx", "match_date").distinct().withColumn(
-        "round", F.row_number().over(W.partitionBy("league").orderBy("season_idx", "match_date"))
-    ).withColumn(
-        "opens", F.col("season_idx") != F.coalesce(
-            F.lag("season_idx").over(W.partitionBy("league").orderBy("round")), F.lit(-1))
-    ).checkpoint()
-    games = events.where("step = 1").join(rounds, ["league", "season_idx", "match_date"]).checkpoint()
-    roster = events.where("step = 0").drop("match_date", "away", "n", "score").withColumnRenamed("home", "team")
-    roster = roster.join(rounds.where("opens").select("league", "season_idx", "round"), ["league", "season_idx"]).checkpoint()
-
-    last_round = rounds.agg(F.max("round")).first()[0]
-    spark = matches.sparkSession
-    state = spark.createDataFrame([], "league int, team long, elo double")
-    emitted = []
-    for r in range(1, last_round + 1):
-        # Roll the leagues that open a season in this round.
-        start = roster.where(F.col("round") == r)
-        base = F.col("initial_rating")
-        rolled = start.join(state.withColumnRenamed("elo", "old"), ["league", "team"], "left").withColumn(
-            "elo",
-            F.when(F.col("kind") == 0, base)
-            .when(F.col("kind") == 1, base + F.col("promoted_delta"))
-            .otherwise(base + F.col("season_shrink") * (F.col("old") - base)),
-        )
-        mean = F.avg("elo").over(W.partitionBy("league"))
-        rolled = rolled.withColumn("elo", F.col("elo") + (base - mean)).select("league", "team", "elo")
-        state = (
-            state.withColumnRenamed("elo", "old")
-            .join(rolled, ["league", "team"], "full_outer")
-            .select("league", "team", F.coalesce("elo", "old").alias("elo"))
-        )
-        g = games.where(F.col("round") == r)
-        h = state.select("league", F.col("team").alias("home"), F.col("elo").alias("h_elo"))
-        a = state.select("league", F.col("team").alias("away"), F.col("elo").alias("a_elo"))
-        change = F.col("k_factor") * (
-            F.col("score") - F.col("n") * expectancy(F.col("h_elo"), F.col("a_elo"), F.col("home_advantage"))
-        )
-        moved = (
-            g.join(h, ["league", "home"]).join(a, ["league", "away"]).withColumn("change", change)
-            .select("league", "season_idx", "match_date", F.explode(F.array(
-                F.struct(F.col("home").alias("team"), F.col("h_elo").alias("elo"), F.col("change")),
-                F.struct(F.col("away").alias("team"), F.col("a_elo").alias("elo"), (-F.col("change")).alias("change")),
-            )).alias("s"))
-            .groupBy("league", "season_idx", "match_date", "s.team")
-            .agg(F.first("s.elo").alias("elo"), F.sum("s.change").alias("change"))
-            .checkpoint()
-        )
-        emitted.append(moved.drop("change"))
-        state = (
-            state.join(moved.select("league", "team", "change"), ["league", "team"], "left")
-            .select("league", "team", (F.col("elo") + F.coalesce("change", F.lit(0.0))).alias("elo"))
-        )
-        # The next round reads the state several times: cut here, or plans double.
-        state = state.checkpoint()
-    out = emitted[0]
-    for part in emitted[1:]:
-        out = out.unionByName(part)
-    return out.select("league", "season_idx", "match_date", "team", "elo")
+#: Levels found by one plan, before its rows are written.
+LEVELS_EACH = 4
+
+
+def contest_levels(pairs: DataFrame) -> DataFrame:
+    """Each pair-day with its ``level`` in the season's graph of contests: one more than the highest level of the contests
+    on the last earlier day of either side. Contests of one level need nothing of each other, whatever their dates.
+
+    In every step the contests on the first open day of both their sides get the next level; all leagues and seasons take
+    their steps together, and a step reads only what is still open. Levels are written as directories of one table."""
+    spark = pairs.sparkSession
+    path = fresh_path(spark, "rating-levels")
+    game = ["league", "season_idx", "match_date", "home", "away"]
+    columns = pairs.columns
+    sides = pairs.withColumn("team", F.explode(F.array("home", "away"))).withColumn("level", F.lit(None).cast("int"))
+    schema, k = sides.schema, 0
+    while True:
+        for _ in range(LEVELS_EACH):
+            k += 1
+            first_open = F.min(F.when(F.col("level").isNull(), F.col("match_date"))).over(W.partitionBy("league", "season_idx", "team"))
+            ready = F.min(F.col("match_date") == F.col("_first")).over(W.partitionBy(*game))
+            sides = sides.withColumn("_first", first_open).withColumn("level", F.when(F.col("level").isNull() & ready, k).otherwise(F.col("level"))).drop("_first")
+        step = fresh_path(spark, "rating-open")
+        sides.write.parquet(step)
+        got = spark.read.schema(schema).parquet(step)
+        got.where("level IS NOT NULL AND team = home").select(*columns, "level").write.partitionBy("season_idx", "level").mode("append").parquet(path)
+        sides = got.where("level IS NULL")
+        if sides.isEmpty():
+            return spark.read.schema(pairs.withColumn("level", F.lit(0)).schema).parquet(path)
+
+
+_STATE = "league int, team long, base double, day date, change double, season_idx int, fresh boolean"
+
+
+def _by_levels(log: DataFrame) -> DataFrame:
+    """The recurrence over levels: one join and one aggregation for all contests of a level, season openings in between.
+
+    A state row holds a team's rating before its latest day and that day's change so far. Each step writes the state after it
+    into its own directory of one table, which is what the next step reads; rows that begin a day are the result."""
+    spark = log.sparkSession
+    games = contest_levels(log.where("step = 1").drop("step", "kind"))
+    roster = log.where("step = 0").select("league", "season_idx", F.col("home").alias("team"), "kind", "season_shrink", "promoted_delta", "initial_rating")
+    depth = {r["season_idx"]: r["d"] for r in games.groupBy("season_idx").agg(F.max("level").alias("d")).collect()}
+    path, done = fresh_path(spark, "rating-states"), 0
+    state = spark.createDataFrame([], _STATE)
+
+    def store(df: DataFrame) -> DataFrame:
+        nonlocal done
+        done += 1
+        step = f"{path}/step={done}"
+        df.select(*[c.split()[0] for c in _STATE.split(", ")]).write.parquet(step)
+        return spark.read.schema(_STATE).parquet(step)
+
+    now = (F.col("base") + F.col("change")).alias("now")
+    for season in sorted(depth):
+        start = F.col("initial_rating")
+        opening = roster.where(F.col("season_idx") == season).join(state.select("league", "team", now), ["league", "team"], "left").withColumn(
+            "base", F.when(F.col("kind") == 0, start).when(F.col("kind") == 1, start + F.col("promoted_delta")).otherwise(start + F.col("season_shrink") * (F.col("now") - start)))
+        mean = opening.groupBy("league").agg(F.avg("base").alias("mean"))
+        opened = opening.join(mean, "league").select(
+            "league", "team", (F.col("base") + start - F.col("mean")).alias("base"), F.lit(None).cast("date").alias("day"), F.lit(0.0).alias("change"),
+            F.col("season_idx").cast("int").alias("season_idx"), F.lit(False).alias("fresh"))
+        resting = state.join(opened.select("league", "team"), ["league", "team"], "left_anti").withColumn("fresh", F.lit(False))
+        state = store(resting.unionByName(opened))
+        for level in range(1, depth[season] + 1):
+            g = games.where((F.col("season_idx") == season) & (F.col("level") == level))
+            before = F.when(F.col("day") == F.col("match_date"), F.col("base")).otherwise(F.col("base") + F.col("change"))
+            side = lambda name: state.select("league", F.col("team").alias(name), "base", "day", "change")
+            rated = g.join(side("home"), ["league", "home"]).withColumn("h_elo", before).drop("base", "day", "change")
+            rated = rated.join(side("away"), ["league", "away"]).withColumn("a_elo", before)
+            change = F.col("k_factor") * (F.col("score") - F.col("n") * expectancy(F.col("h_elo"), F.col("a_elo"), F.col("home_advantage")))
+            moved = rated.select("league", "match_date", F.explode(F.array(
+                F.struct(F.col("home").alias("team"), change.alias("moved")), F.struct(F.col("away").alias("team"), (-change).alias("moved")))).alias("s"))
+            moved = moved.groupBy("league", "match_date", "s.team").agg(F.sum("s.moved").alias("moved"))
+            begins = F.col("match_date").isNotNull() & ~F.col("day").eqNullSafe(F.col("match_date"))
+            more = F.coalesce("moved", F.lit(0.0))
+            state = store(state.drop("fresh").join(moved, ["league", "team"], "left").select(
+                "league", "team", F.when(begins, F.col("base") + F.col("change")).otherwise(F.col("base")).alias("base"),
+                F.when(begins, F.col("match_date")).otherwise(F.col("day")).alias("day"), F.when(begins, F.col("moved")).otherwise(F.col("change") + more).alias("change"),
+                F.when(begins, F.lit(season)).otherwise(F.col("season_idx")).cast("int").alias("season_idx"), begins.alias("fresh")))
+    if not done:
+        return spark.createDataFrame([], RATING_SCHEMA)
+    return spark.read.schema(_STATE + ", step int").parquet(path).where("fresh").select("league", "season_idx", F.col("day").alias("match_date"), "team", F.col("base").alias("elo"))
+
+
+def ratings_by_levels(matches: DataFrame, schedule: DataFrame) -> DataFrame:
+    """As :func:`ratings`, without a pass: no task holds more than its share of a level, and the number of steps is that of the
+    levels, not of the days."""
+    return _by_levels(written(rating_events(matches, schedule), "rating-log"))

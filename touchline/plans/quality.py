@@ -161,8 +161,10 @@ def duplicate_matches(spark, sf):
     return quality.duplicate_violations(cleaned(spark, sf))
 
 
-@register("p6_batch_gate", RAW + "SELECT count(*) n_clean FROM raw WHERE \"HST\" <= \"HS\" AND \"AST\" <= \"AS\" AND \"HTHG\" <= \"FTHG\" "
-          "AND \"HTAG\" <= \"FTAG\" AND \"AR\" >= 0 AND match_id % 211 <> 0 AND match_id % 223 <> 0")
+@register("p6_batch_gate", RAW + """SELECT count(*) n_clean FROM raw WHERE "HST" <= "HS" AND "AST" <= "AS" AND "HTHG" <= "FTHG" AND "HTAG" <= "FTAG"
+  AND "HomeTeam" <> "AwayTeam" AND least(""" + ", ".join(f'"{c}"' for c in S.RAW_COUNT_COLUMNS) + """) >= 0
+  AND "FTR" = CASE WHEN "FTHG" > "FTAG" THEN 'H' WHEN "FTHG" < "FTAG" THEN 'A' ELSE 'D' END
+  AND "HTR" = CASE WHEN "HTHG" > "HTAG" THEN 'H' WHEN "HTHG" < "HTAG" THEN 'A' ELSE 'D' END""")
 def batch_gate(spark, sf):
     """The gate refuses the whole batch and accepts the rows no rule names."""
     m = cleaned(spark, sf)

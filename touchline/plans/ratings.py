@@ -163,6 +163,27 @@ def elo_fixed(spark, sf):
     return elo.ratings(c, causal.constant_schedule(c, 60.0, 0.75, -80.0))
 
 
+@register("e4_elo_by_levels", f"WITH {Q.elo()} SELECT league, season_idx, match_date::VARCHAR match_date, team, {r('elo')} elo FROM rating")
+def elo_by_levels(spark, sf):
+    c = contests(spark, sf)
+    return elo.ratings_by_levels(c, causal.parameter_schedule(c, strict=True))
+
+
+# The day of a team is reached by the longest chain of contests: a step of the recursion is a level.
+@register("e4_contest_levels", f"""WITH RECURSIVE {Q.INDEXED}, g AS MATERIALIZED (SELECT DISTINCT league, season_idx, match_date d, home, away FROM m),
+td AS (SELECT *, lag(d) OVER (PARTITION BY league, season_idx, team ORDER BY d) before FROM (SELECT DISTINCT league, season_idx, unnest([home, away]) team, d FROM g)),
+need AS MATERIALIZED (SELECT DISTINCT g.league, g.season_idx, g.d, g.home, g.away, p.d pd, p.home ph, p.away pa FROM g JOIN td t ON t.league = g.league AND t.season_idx = g.season_idx AND t.d = g.d AND t.team IN (g.home, g.away)
+  JOIN g p ON p.league = t.league AND p.season_idx = t.season_idx AND p.d = t.before AND t.team IN (p.home, p.away)),
+reach(league, season_idx, d, home, away, level) AS (
+  SELECT league, season_idx, d, home, away, 1 FROM g
+  UNION SELECT n.league, n.season_idx, n.d, n.home, n.away, r.level + 1 FROM reach r JOIN need n ON n.league = r.league AND n.season_idx = r.season_idx AND n.pd = r.d AND n.ph = r.home AND n.pa = r.away),
+deep AS (SELECT league, season_idx, d, home, away, max(level) level FROM reach GROUP BY ALL)
+SELECT league, season_idx, level, count(*) n_pairs, min(d)::VARCHAR first_day, max(d)::VARCHAR last_day FROM deep GROUP BY ALL""")
+def contest_levels(spark, sf):
+    levels = elo.contest_levels(elo.pair_days(indexed(spark, sf)))
+    return levels.groupBy("league", "season_idx", "level").agg(F.count("*").alias("n_pairs"), F.min("match_date").alias("first_day"), F.max("match_date").alias("last_day"))
+
+
 def feature_select(columns):
     out = []
     for c in columns:

@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from touchline import schema as S
 from touchline.operators import live
 from touchline.sources.provider_json import LIVE_SCHEMA
 
@@ -33,43 +27,6 @@ def ingest_snapshots(entries: DataFrame, aliases: DataFrame, season: str, table_
     return entries.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-LATEST_SCHEMA = "fixture_id long, fetched_at timestamp, event_id long, status string, minute int, home_score int, is_stale boolean"
-LATEST_STATE = "fetched_at timestamp, event_id long, status string, minute int, home_score int"
-
-
-def latest_with_ttl(snapshots: DataFrame, ttl_seconds: int, lateness: str | None = None) -> DataFrame:
-    """Latest whole snapshot per fixture, re-emitted with ``is_stale`` once event
-    time passes its ttl; one that arrives past its ttl is stale at once. Event time waits for late rows as long as the ttl,
-    unless told otherwise. One small row of state per fixture."""
-    lateness = lateness or f"{ttl_seconds} seconds"
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        (fixture,) = key
-        if fixture == CLOCK:
-            return
-        best = state.get if state.exists else None
-        if state.hasTimedOut:
-            if best is not None:
-                yield pd.DataFrame([(fixture, *best, True)], columns=[c.split()[0] for c in LATEST_SCHEMA.split(", ")])
-            return
-        changed = False
-        for pdf in batches:
-            row = pdf.sort_values(["fetched_at", "event_id"]).iloc[-1]
-            if best is None or (row["fetched_at"], row["event_id"]) > (best[0], best[1]):
-                best = (row["fetched_at"].to_pydatetime(), int(row["event_id"]), row["status"], int(row["minute"]), int(row["home_score"]))
-                changed = True
-        expires = int(pd.Timestamp(best[0]).timestamp() * 1000) + ttl_seconds * 1000
-        alive = expires >= state.getCurrentWatermarkMs()
-        if changed:
-            state.update(best)
-            yield pd.DataFrame([(fixture, *best, not alive)], columns=[c.split()[0] for c in LATEST_SCHEMA.split(", ")])
-        if alive:
-            state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
-
-    return snapshots.withWatermark("fetched_at", lateness).groupBy("fixture_id").applyInPandasWithState(
-        update, LATEST_SCHEMA, LATEST_STATE, "update", GroupStateTimeout.EventTimeTimeout)
-
-
 def deduplicated_events(events: DataFrame, at: str, key: list[str], lateness: str = LATENESS) -> DataFrame:
     """Each event once, though every snapshot repeats the earlier ones."""
     return events.withWatermark(at, lateness).dropDuplicatesWithinWatermark(key)
@@ -79,84 +36,6 @@ def in_play_stream(snapshots: DataFrame) -> DataFrame:
     return snapshots.where(live.in_play(F.col("status")))
 
 
-FORM_SCHEMA = ("league int, team long, match_date date, matches_played_season long, std_ppg double, ewma_gf double, ewma_ga double, "
-               "ewma_ppg double")
-FORM_STATE = "state string"
-#: Rows of this key only move event time on: a source sends them when all is over, so that the last days are played.
-CLOCK = -1
-
-
-def form_stream(team_rows: DataFrame, lateness: str = "10 days", halflife: float = S.EWMA_HALFLIFE,
-                min_periods: int = S.MIN_PERIODS) -> DataFrame:
-    """Team form before each match day, on a stream of finished matches.
-
-    Days are buffered per team and played in order once the watermark has passed
-    them, so results of one day never see each other. A day that arrives after a
-    later one was played is not played out of order: :func:`missed_days` finds
-    it for the batch job to repair.
-    ``team_rows`` carries ``match_ts`` (the day as timestamp) and ``season_idx``.
-    """
-    decay = 0.5 ** (1.0 / halflife)
-    names = [c.split()[0] for c in FORM_SCHEMA.split(", ")]
-
-    def play(key, s: dict, day: int, rows: list) -> tuple:
-        season = rows[0][0]
-        if s["season"] is not None and season - s["season"] >= 2:
-            s["w"], s["x"], s["n"] = 0.0, [0.0] * 3, 0
-        if season != s["season"]:
-            s["season"], s["sn"], s["sp"] = season, 0, 0.0
-        warm = s["n"] >= min_periods
-        out = (*key, pd.Timestamp(day, unit="D").date(), s["sn"], s["sp"] / s["sn"] if s["sn"] else None,
-               *[x / s["w"] if warm else None for x in s["x"]])
-        for _, _, _, _, gf, ga, pts in sorted(rows, key=lambda r: (r[1], r[2], r[3])):
-            s["w"] = 1.0 + decay * s["w"]
-            s["x"] = [v + decay * x for v, x in zip((gf, ga, pts), s["x"])]
-            s["n"], s["sn"], s["sp"] = s["n"] + 1, s["sn"] + 1, s["sp"] + pts
-        s["last"] = day
-        return out
-
-    def update(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if key[0] == CLOCK:
-            return
-        s = json.loads(state.get[0]) if state.exists else {
-            "season": None, "w": 0.0, "x": [0.0] * 3, "n": 0, "sn": 0, "sp": 0.0, "last": None, "buffer": {}}
-        out = []
-        if not state.hasTimedOut:
-            for pdf in batches:
-                for r in pdf.itertuples(index=False):
-                    day = int(r.match_ts.timestamp() // 86400)
-                    if s["last"] is not None and day <= s["last"]:
-                        continue  # too late to play in order
-                    s["buffer"].setdefault(str(day), []).append(
-                        [int(r.season_idx), int(r.home), int(r.away), int(r.match_id), float(r.gf), float(r.ga), float(r.pts)])
-        watermark_day = state.getCurrentWatermarkMs() // 86_400_000
-        for day in sorted(int(d) for d in s["buffer"]):
-            if day >= watermark_day:
-                break
-            out.append(play(key, s, day, s["buffer"].pop(str(day))))
-        state.update((json.dumps(s),))
-        if s["buffer"]:
-            due = (min(int(d) for d in s["buffer"]) + 1) * 86_400_000
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        if out:
-            yield pd.DataFrame(out, columns=names)
-
-    columns = ["league", "team", "season_idx", "home", "away", "match_id", "match_ts", "gf", "ga", "pts"]
-    return team_rows.select(*columns).withWatermark("match_ts", lateness).groupBy("league", "team").applyInPandasWithState(
-        update, FORM_SCHEMA, FORM_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def missed_days(team_rows: DataFrame, emitted: DataFrame) -> DataFrame:
-    """Team days at or before the last one emitted that the stream never played:
-    late results. From the earliest of a team on, its form needs the batch job.
-    For a team of which nothing was emitted, the last day emitted of any team counts."""
-    reached = emitted.groupBy("league", "team").agg(F.max("match_date").alias("_reached"))
-    last = emitted.agg(F.max("match_date").alias("_last"))  # one row
-    days = team_rows.select("league", "team", "match_date").distinct().join(reached, ["league", "team"], "left").join(F.broadcast(last))
-    return days.where("match_date <= coalesce(_reached, _last)").drop("_reached", "_last").join(
-        emitted.select("league", "team", "match_date"), ["league", "team", "match_date"], "left_anti")
-
-
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
     """Process everything that is there, into a parquet table."""
     if mode == "append":
