@@ -94,7 +94,7 @@ def test_as_of_against_brute_force(spark):
     snaps = [(rng.choice([1, 1, 1, 2]), t0 + dt.timedelta(minutes=rng.randint(0, 6000)), i) for i in range(80)]
     reads = [(i, rng.choice([1, 2, 3]), t0 + dt.timedelta(minutes=rng.randint(0, 6000))) for i in range(80)]
     got = live.as_of(
-        spark.createDataFrame(reads, "read_id long, k int, ts timestamp"), spark.createDataFrame(snaps, "k int, ts timestamp, v int"), "k", "ts", [], 3600, bucket_seconds=7200)
+        spark.createDataFrame(reads, "read_id long, k int, ts timestamp"), spark.createDataFrame(snaps, "k int, ts timestamp, v int"), "k", "ts", [], 3600, parts=5)
     for r in got.collect():
         _, k, at = reads[r["read_id"]]
         want = max((t for kk, t, _ in snaps if kk == k and t <= at), default=None)
@@ -104,6 +104,18 @@ def test_as_of_against_brute_force(spark):
             assert r["is_stale"] == int((at - want).total_seconds() >= 3600)
 
 
+def test_as_of_splits_a_hot_moment(spark):
+    """One key, one hour, many reads and snapshots at the same few moments: spread over all ranges, none lost."""
+    t0 = dt.datetime(2024, 1, 1)
+    snaps = spark.createDataFrame([(1, t0 + dt.timedelta(minutes=i % 6), i) for i in range(600)], "k int, ts timestamp, v int")
+    reads = spark.createDataFrame([(i, 1, t0 + dt.timedelta(minutes=i % 7 - 1)) for i in range(1400)], "read_id long, k int, ts timestamp")
+    got = live.as_of(reads, snaps, "k", "ts", ["v"], 3600, tie="v", parts=16).collect()
+    assert len(got) == 1400
+    for r in got:
+        minute = r["read_id"] % 7 - 1
+        assert r["v"] == (None if minute < 0 else max(i for i in range(600) if i % 6 <= minute and i % 6 == min(minute, 5))), minute
+
+
 def test_as_of_ties_take_the_greatest_by_the_tie_column(spark):
     t = dt.datetime(2024, 1, 1)
     snaps = spark.createDataFrame([(1, t, 5, "old"), (1, t, 9, "a"), (1, t, 7, "z")], "k int, ts timestamp, v int, note string")

@@ -28,6 +28,12 @@ def _name_words(raw: pd.Series) -> pd.Series:
     return raw.map(lambda t: None if t is None else re.sub(r"[\W_]+", " ", re.sub("['’]", "", _fold(t)).casefold()).strip())
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _lists_of_name_words(raw: pd.Series) -> pd.Series:
+    return raw.map(lambda names: None if names is None else [
+        None if t is None else re.sub(r"[\W_]+", " ", re.sub("['’]", "", _fold(t)).casefold()).strip() for t in names])
+
+
 @F.pandas_udf(T.StringType())
 def _question_words(raw: pd.Series) -> pd.Series:
     return raw.map(lambda t: None if t is None else re.sub(r"(?:[^\w+.\-]|_)+", " ", _fold(t).casefold()).strip())
@@ -44,16 +50,29 @@ def strip_possessives(text: Column) -> Column:
     return F.regexp_replace(text, POSSESSIVE, "$1")
 
 
+def _ascii_name(raw: Column) -> Column:
+    return F.trim(F.regexp_replace(F.lower(F.regexp_replace(raw, "'", "")), "[^a-z0-9]+", " "))
+
+
 def words_of_name(raw: Column) -> Column:
     """Accents, apostrophes and case removed, other punctuation as spaces."""
-    ascii_words = F.trim(F.regexp_replace(F.lower(F.regexp_replace(raw, "'", "")), "[^a-z0-9]+", " "))
-    return _either(raw, ascii_words, _name_words)
+    return _either(raw, _ascii_name(raw), _name_words)
+
+
+def _without_suffix(words: Column) -> Column:
+    return F.regexp_replace(words, "((^| )(" + "|".join(CLUB_SUFFIXES) + "))+$", "")
 
 
 def normalize_name(raw: Column) -> Column:
     """Words of a name without trailing club suffixes."""
-    suffix = "((^| )(" + "|".join(CLUB_SUFFIXES) + "))+$"
-    return F.regexp_replace(words_of_name(raw), suffix, "")
+    return _without_suffix(words_of_name(raw))
+
+
+def normalize_names(raw: Column) -> Column:
+    """:func:`normalize_name` of every element; a list of ASCII names stays in the JVM."""
+    plain = F.forall(raw, lambda x: x.isNull() | x.rlike(_ASCII))
+    words = F.coalesce(_lists_of_name_words(F.when(~plain, raw)), F.when(plain, F.transform(raw, _ascii_name)))
+    return F.transform(words, _without_suffix)
 
 
 def normalize_question(raw: Column) -> Column:

@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from touchline.functions import provider as P
+from touchline.functions.text import normalize_names
 from touchline.operators.teams import resolve_names
+from touchline.session import BROADCAST_ROW_BOUND, written
 
 
 def parse_schedule(matches: DataFrame, aliases: DataFrame, season: str, competition: str = "PL") -> DataFrame:
@@ -25,13 +27,15 @@ def parse_schedule(matches: DataFrame, aliases: DataFrame, season: str, competit
 def _with_clubs(rows: DataFrame, aliases: DataFrame) -> DataFrame:
     for side in ("home", "away"):
         rows = resolve_names(rows, f"{side}_name", aliases).withColumnRenamed("canonical_id", f"{side}_id").drop("has_history")
+    return rows.withColumn("problem", _fixture_problem())
+
+
+def _fixture_problem() -> Column:
     c = F.col
-    return rows.withColumn(
-        "problem",
-        F.when(c("fixture_id").isNull(), "no id").when(c("kickoff").isNull(), "no kickoff")
-        .when(c("home_name").isNull() | c("away_name").isNull(), "no usable team names")
-        .when(c("home_id").isNull() | c("away_id").isNull(), "unknown club")
-        .when(c("home_id") == c("away_id"), "home and away must differ"))
+    return (F.when(c("fixture_id").isNull(), "no id").when(c("kickoff").isNull(), "no kickoff")
+            .when(c("home_name").isNull() | c("away_name").isNull(), "no usable team names")
+            .when(c("home_id").isNull() | c("away_id").isNull(), "unknown club")
+            .when(c("home_id") == c("away_id"), "home and away must differ"))
 
 
 def parse_live_fixtures(entries: DataFrame, aliases: DataFrame, season: str, competition: str = "39") -> DataFrame:
@@ -85,30 +89,71 @@ def parse_statistics(entries: DataFrame, aliases: DataFrame) -> DataFrame:
         *KEY, "place", F.col("canonical_id").alias("team_id"), P.match_statistics(F.col("b.statistics")).alias("stats"))
 
 
-def parse_snapshots(entries: DataFrame, aliases: DataFrame, season: str) -> DataFrame:
-    """Whole snapshots: fixture, both sides' statistics and lineups, events.
+def _club_lookup(aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(alias, canonical_id, every alias of that club) to join by, and one row with all aliases as a map. The club registry is
+    small; one beyond the bound of a broadcast is refused."""
+    known = aliases.select("alias", "canonical_id")
+    n = known.limit(BROADCAST_ROW_BOUND + 1).count()
+    if n > BROADCAST_ROW_BOUND:
+        raise ValueError(f"more than {BROADCAST_ROW_BOUND} club spellings")
+    own = known.groupBy("canonical_id").agg(F.collect_list("alias").alias("spellings"))
+    one = known.agg(F.map_from_entries(F.collect_list(F.struct("alias", "canonical_id"))).alias("_clubs"))
+    return known.join(own, "canonical_id"), one
+
+
+def parse_snapshots(entries: DataFrame, aliases: DataFrame, season: str, competition: str = "39") -> DataFrame:
+    """Whole snapshots: fixture, both sides' statistics and lineups, events. One scan; no entry leaves its row.
 
-    Blocks find their side by resolved club; of several blocks for one side the
-    last wins. A block that was never sent stays null.
+    All names of an entry are normalised together. The two sides meet the club table in broadcast joins and bring their
+    clubs' spellings along, which settles nearly all blocks; a name of neither side is looked up among all clubs. Blocks find
+    their side by resolved club; of several blocks for one side the last wins. A block that was never sent stays null.
     """
-    fixtures = parse_live_fixtures(entries, aliases, season)
-    sides = fixtures.select(*KEY, "home_id", "away_id")
-
-    def by_side(blocks: DataFrame, value: str) -> DataFrame:
-        placed = blocks.join(sides, KEY)
-        last = lambda side: F.max_by(F.when(F.col("team_id") == F.col(f"{side}_id"), F.col(value)),
-                                     F.when(F.col("team_id") == F.col(f"{side}_id"), F.col("place")))
-        return placed.groupBy(*KEY).agg(last("home").alias(f"home_{value}"), last("away").alias(f"away_{value}"))
-
-    lineups = parse_lineups(entries, aliases)
-    unknown = lineups.where("problem IS NOT NULL").select(*KEY, F.lit("unknown club in a lineup").alias("_lineup_problem")).distinct()
-    fixtures = fixtures.join(unknown, KEY, "left").withColumn("problem", F.coalesce("problem", "_lineup_problem")).drop("_lineup_problem")
-    lineups = lineups.withColumn("lineup", F.struct("team_id", "formation", "starting_xi", "substitutes", "coach"))
-    events = parse_events(entries, aliases).groupBy(*KEY).agg(
-        F.sort_array(F.collect_list(F.struct("place", "type", "minute", "team_id", "player", "assist", "detail"))).alias("events"))
-    return (
-        fixtures.join(by_side(parse_statistics(entries, aliases), "stats"), KEY, "left")
-        .join(by_side(lineups, "lineup"), KEY, "left").join(events, KEY, "left"))
+    clubs, every = _club_lookup(aliases)
+    c, none = F.col, F.array().cast("array<string>")
+    blocks = ["events", "lineups", "statistics"]
+    of_blocks = [F.coalesce(F.transform(c(b), lambda x: x["team"]["name"]), none) for b in blocks]
+    sides = [F.nullif(c(f"teams.{s}.name"), F.lit("")) for s in ("home", "away")]
+    rows = entries.withColumn("_n", normalize_names(F.concat(F.array(*sides), *of_blocks)))
+    rows = rows.withColumns({f"_{s}": F.get("_n", F.lit(i)) for i, s in enumerate(("home", "away"))})
+    for s in ("home", "away"):
+        side = clubs.select(c("alias").alias(f"_{s}"), c("canonical_id").alias(f"{s}_id"), c("spellings").alias(f"_{s}_all"))
+        rows = rows.join(F.broadcast(side), f"_{s}", "left")
+    rows = rows.crossJoin(F.broadcast(every))
+
+    def club(name):
+        ours = [F.coalesce(F.array_contains(f"_{s}_all", name), F.lit(False)) for s in ("home", "away")]
+        return F.when(ours[0], c("home_id")).when(ours[1], c("away_id")).otherwise(c("_clubs")[name])
+
+    size = lambda b: F.when(c(b).isNull(), 0).otherwise(F.size(b))
+    starts = {"events": F.lit(2), "lineups": F.lit(2) + size("events"), "statistics": F.lit(2) + size("events") + size("lineups")}
+
+    def placed(b: str) -> Column:
+        return F.transform(c(b), lambda x, i: F.struct(i.alias("place"), club(F.get("_n", starts[b] + i)).alias("team_id"), x.alias("b")))
+
+    rows = rows.withColumns({f"_{b}": placed(b) for b in blocks}).withColumns({
+        "_events": F.filter("_events", lambda e: e["b"].isNotNull()),
+        "_lineups": F.filter("_lineups", lambda e: F.coalesce(F.length(e["b"]["team"]["name"]) > 0, F.lit(False)))})
+    last = lambda b, s: F.try_element_at(F.filter(f"_{b}", lambda x: x["team_id"] == c(f"{s}_id")), F.lit(-1))
+    events = F.transform("_events", lambda e: F.struct(
+        e["place"], P.event_type(e["b"]["type"], e["b"]["detail"]).alias("type"), e["b"]["time"]["elapsed"].alias("minute"), e["team_id"],
+        e["b"]["player"]["name"].alias("player"), e["b"]["assist"]["name"].alias("assist"), e["b"]["detail"].alias("detail")))
+
+    def lineup(s):
+        x = last("lineups", s)
+        b = x["b"]
+        found = F.struct(x["team_id"].alias("team_id"), b["formation"].alias("formation"), _players(b["startXI"]).alias("starting_xi"),
+                         _players(b["substitutes"]).alias("substitutes"), b["coach"]["name"].alias("coach"))
+        return F.when(x.isNotNull(), found).alias(f"{s}_lineup")
+
+    home, away = (n.alias(f"{s}_name") for n, s in zip(sides, ("home", "away")))
+    return rows.select(
+        c("fixture.id").cast("string").alias("fixture_id"), "fetched_at", F.lit(competition).alias("competition"), F.lit(season).alias("season"), home, away,
+        P.kickoff(c("fixture.date"), c("fixture.timestamp")).alias("kickoff"), P.map_status(c("fixture.status.short"), "api_football").alias("status"),
+        c("fixture.status.elapsed").alias("minute"), c("goals.home").alias("home_score"), c("goals.away").alias("away_score"), "home_id", "away_id",
+        *[P.match_statistics(last("statistics", s)["b"]["statistics"]).alias(f"{s}_stats") for s in ("home", "away")], lineup("home"), lineup("away"),
+        F.when(F.size("_events") > 0, events).alias("events"),
+        F.exists("_lineups", lambda x: x["team_id"].isNull()).alias("_stranger"),
+    ).withColumn("problem", F.coalesce(_fixture_problem(), F.when(c("_stranger"), "unknown club in a lineup"))).drop("_stranger")
 
 
 def in_play(status: Column) -> Column:
@@ -187,26 +232,27 @@ def with_freshness(rows: DataFrame, read_at: Column, fetched_at: str, ttl_second
     })
 
 
-def as_of(reads: DataFrame, snapshots: DataFrame, key: str, at: str, value: list[str], ttl_seconds: int, bucket_seconds: int = 3_600,
-          strict: bool = False, tie: str | None = None) -> DataFrame:
+def as_of(reads: DataFrame, snapshots: DataFrame, key: str, at: str, value: list[str], ttl_seconds: int, strict: bool = False,
+          tie: str | None = None, parts: int | None = None) -> DataFrame:
     """For every read the latest snapshot of its key at or before it; of those at one time the greatest by ``tie``, or by
     their values if no column is named.
 
-    Time buckets split each key: inside a bucket a window finds the last
-    snapshot, and one row per (key, bucket) carries the last one of earlier
-    buckets forward. A hot key thus spreads over its buckets.
+    A segmented scan: reads and snapshots are dealt together into ``parts`` ranges of (key, time), written so that the ranges
+    stay, and inside each range a window finds the last snapshot. One row per (key, range) carries the last snapshot of earlier
+    ranges forward. The ranges follow the rows, so a hot key, or one hot moment of it, spreads over as many as it fills.
     """
-    bucket = F.floor(F.unix_micros(F.col(at).cast("timestamp")) / (bucket_seconds * 1_000_000))
+    n = parts or int(snapshots.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     snap = F.struct(F.col(at).alias("snapshot_at"), *([F.col(tie).alias("_tie")] if tie else []), *value)
     s = snapshots.select(key, at, F.lit(0).alias("_is_read"), F.lit(None).cast("long").alias("read_id"), snap.alias("_snap"))
     r = reads.select(key, at, F.lit(1).alias("_is_read"), F.col("read_id").cast("long").alias("read_id"), F.lit(None).cast(s.schema["_snap"].dataType).alias("_snap"))
-    log = s.unionByName(r).withColumn("_bucket", bucket)
-    inside = W.partitionBy(key, "_bucket").orderBy(at, "_is_read", "_snap")
+    order = [at, "_is_read", "_snap", "read_id"]
+    log = written(s.unionByName(r).repartitionByRange(n, key, *order).withColumn("_range", F.spark_partition_id()), "as-of")
+    inside = W.partitionBy(key, "_range").orderBy(*order)
     local = log.withColumn("_here", F.last("_snap", ignorenulls=True).over(inside)).where("_is_read = 1")
-    ends = log.groupBy(key, "_bucket").agg(F.max("_snap").alias("_end"))
-    earlier = W.partitionBy(key).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    ends = log.groupBy(key, "_range").agg(F.max("_snap").alias("_end"))
+    earlier = W.partitionBy(key).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     carried = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(earlier)).drop("_end")
-    out = local.join(carried, [key, "_bucket"]).withColumn("_s", F.coalesce("_here", "_before"))
+    out = local.join(carried, [key, "_range"]).withColumn("_s", F.coalesce("_here", "_before"))
     age = P.age_seconds(F.col(at), F.col("_s.snapshot_at"))
     found = F.col("_s").isNotNull()
     out = out.select("read_id", key, F.col(at).alias("read_at"), "_s.snapshot_at", *[F.col(f"_s.`{v}`").alias(v) for v in value], F.when(found, age).alias("age_seconds"),
