@@ -65,3 +65,37 @@ def test_copied_and_owned(spark):
     got = {r["doc_id"]: r for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
     assert [s["value"] for s in got[0]["added"]] == [key] and (got[0]["n_live"], got[0]["n_copied"]) == (1, 1)
     assert all(not got[i]["added"] and got[i]["n_copied"] == 1 for i in range(1, 10))
+
+
+def test_long_tokens_and_whole_values(spark):
+    """A token of one owner is found at any length; values are judged and returned whole."""
+    token = ("Ab3dEf6hIj9kLm2nOp5qRs8t" * 40)[:400]
+    rows = [(k, f"key {token[:n]} end", "s", "en") for k, n in enumerate((31, 32, 120, 140, 400))]
+    got = {r["doc_id"]: [s["value"] for s in r["added"]] for r in secrets.secrets(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert got == {k: [token[:n]] if n >= 32 else [] for k, n in enumerate((31, 32, 120, 140, 400))}
+    mail = "a" * 300 + " [at] mail [dot] com"
+    rows = [(k, f"please write mail to {mail} or jo [at] mail [dot] com, dear Dr. {'A' + 'b' * 30} Meier" + " contact" * k) for k in range(30)]
+    added = {s["value"] for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect() for s in r["added"]}
+    assert mail in added and "Dr. A" + "b" * 30 + " Meier" in added
+
+
+def test_very_many_spans(spark):
+    """Pieces of a long array give what one pass gives; a text of many thousand spans ends in seconds."""
+    from touchline.llm import spans as S
+
+    text = " ".join(f"x{k}@a.bc" if k % 3 else f"10.0.{k % 256}.1 y" for k in range(20_000))
+    rows = [(0, text), (1, text[: S.PIECE * 9]), (2, None)]
+    for r in pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in r["base"]) == digest(rows[r["doc_id"]][1], PII)["text"]
+    a = [(k * 7 % 1000, k * 7 % 1000 + 1 + k % 5) for k in range(900)]
+    b = sorted({(k * 13 % 1000, k * 13 % 1000 + 2) for k in range(0, 600, 3)})
+    span = lambda s, e: {"start": s, "rank": 0, "kind": "x", "end": e, "value": ""}
+    df = spark.createDataFrame([([span(*x) for x in a], [span(*x) for x in b])], f"a array<{S.SPAN}>, b array<{S.SPAN}>")
+    r = df.select(S.apart(df["a"], df["b"]).alias("apart"), S.without_overlaps(df["a"]).alias("free")).first()
+    assert [(s["start"], s["end"]) for s in r["apart"]] == [x for x in a if not any(x[0] < e and s < x[1] for s, e in b)]
+    free, to = [], 0
+    for s, e in sorted(a):
+        if s >= to:
+            free.append((s, e))
+            to = e
+    assert [(s["start"], s["end"]) for s in r["free"]] == free

@@ -34,11 +34,11 @@ BASE = [
 ]
 #: Looser patterns for the labelers to judge.
 LOOSE = [
-    ("email", rf"(?<!{_LOCAL}){_LOCAL}{{1,64}}+ ?[\[(](?:at|AT)[\])] ?{_LABEL}++(?: ?[\[(](?:dot|DOT)[\])] ?{_LABEL}++)++", None),
+    ("email", rf"(?<!{_LOCAL}){_LOCAL}++ ?[\[(](?:at|AT)[\])] ?{_LABEL}++(?: ?[\[(](?:dot|DOT)[\])] ?{_LABEL}++)++", None),
     ("ip", r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", ":"),
     ("phone", r"(?<![0-9+)(-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9-])", None),
     ("id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "-"),
-    ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.? [A-Z][a-z]{1,20}(?: [A-Z][a-z]{1,20})?", None),
+    ("name", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Sra|Mme)\.? [A-Z][a-z]++(?: [A-Z][a-z]++)?", None),
 ]
 LOOSE_RANK = 10
 KINDS = ["email", "ip", "card", "phone", "id", "name"]
@@ -88,11 +88,11 @@ def found(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     # Card-like numbers that fail the checksum help to judge the labelers, but are never admitted.
     near = F.filter("_b2", lambda s: F.length(_digits(s["value"])).between(14, 19) & ~_luhn(s["value"]))
     loose = [S.find_spans(text, pattern, kind, LOOSE_RANK + k, F.contains(text, F.lit(sub)) if sub else None) for k, (kind, pattern, sub) in enumerate(LOOSE)]
-    df = df.withColumn("loose", S.without_overlaps(S.apart(F.concat(near, *loose), F.col("base"))))
+    df = df.withColumn("_loose", F.concat(near, *loose)).withColumn("loose", S.without_overlaps(S.apart(F.col("_loose"), F.col("base"))))
 
     def around(s, strict):
         left = F.greatest(s["start"] - CONTEXT, F.lit(0))
-        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), F.substring(s["value"], 1, 200).alias("value"),
+        return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["rank"].alias("rank"), s["value"].alias("value"),
                         F.lit(strict).alias("strict"), F.substring(text, left + 1, s["start"] - left).alias("left"),
                         F.substring(text, s["end"] + 1, F.lit(CONTEXT)).alias("right"))
 

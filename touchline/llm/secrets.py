@@ -27,10 +27,12 @@ BASE = [
     ("access", r"AKIA[A-Z0-9]++"),
     ("hex", r"[0-9a-f]{24,}+"),
 ]
+#: A run of 32 characters or more; that it mixes digits, capitals and small letters is asked of the whole match afterwards.
+_MIXED = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{32,}+"
 #: Further shapes of credentials.
 MORE = [
     r"(?<![A-Za-z0-9_])gh[opsur]_[A-Za-z0-9]{20,}+", r"(?<![A-Za-z0-9_])(?:sk|pk|rk)[-_](?:live|test)[-_][A-Za-z0-9]{16,}+", r"(?<![A-Za-z0-9])xox[abprs]-[A-Za-z0-9-]{10,}+",
-    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])(?=[0-9a-z+/_=-]{0,40}[A-Z])(?=[0-9A-Z+/_=-]{0,40}[a-z])[A-Za-z0-9+/_=-]{32,128}(?![A-Za-z0-9+/_=-])",
+    r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+", _MIXED,
 ]
 COPIED = 3
 VARIED = 8  # different characters that a live-looking value has at least
@@ -54,8 +56,11 @@ def found(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", ow
         df = df.withColumn(f"_b{rank}", S.find_spans(text, pattern, kind, rank, hint))
     good = [F.filter("_b0", lambda s: _assigned(s["value"])), F.filter("_b1", lambda s: F.length(s["value"]) >= 20), F.col("_b2")]
     df = df.withColumn("base", F.array_sort(F.concat(*good)))
-    loose = F.concat(*[S.find_spans(text, p, "owned", 10 + k) for k, p in enumerate(MORE)])
-    df = df.withColumn("loose", S.without_overlaps(S.apart(loose, F.col("base"))))
+    mixed = lambda s: F.regexp_like(s["value"], F.lit("[0-9]")) & F.regexp_like(s["value"], F.lit("[A-Z]")) & F.regexp_like(s["value"], F.lit("[a-z]"))
+    for k, p in enumerate(MORE):
+        df = df.withColumn(f"_l{k}", S.find_spans(text, p, "owned", 10 + k))
+    df = df.withColumn("_loose", F.concat(*[F.filter(f"_l{k}", mixed) if p == _MIXED else F.col(f"_l{k}") for k, p in enumerate(MORE)]))
+    df = df.withColumn("loose", S.without_overlaps(S.apart(F.col("_loose"), F.col("base"))))
     owner = F.coalesce(F.concat(F.lit("="), F.col("owner").cast("string")), F.lit(""))
     repository = F.concat_ws("/", owner, F.coalesce(F.concat(F.lit("="), F.col("part").cast("string")), F.lit("")))
     return S.numbered(df.select("doc_id", owner.alias("owner"), repository.alias("repository"), "base", "loose"))
