@@ -158,3 +158,13 @@ def test_contract_names_each_breach(make_matches):
     assert {"elo_band:home", "elo_drift", "target_disagrees", "target_unknown", "depth_range:away"} <= found
     assert "missing_column:home_elo" in {r["check"] for r in features.contract_violations(f.drop("home_elo")).collect()}
     assert len(S.FEATURE_COLUMNS) == 35 and len(S.LINEAR_COLUMNS) == 25
+
+
+def test_a_feature_that_is_an_outcome_is_told(make_matches):
+    """Found in the rows, whatever the column is called; a constant that agrees by chance is not."""
+    m = random_league(make_matches, n_seasons=2)
+    f = features.build_features(m, causal.constant_schedule(m, **PARAMS))
+    assert features.leaked_columns(f, m).count() == 0
+    own = f.drop("home_ewma_gf").join(m.select("match_id", F.col("fthg").cast("double").alias("home_ewma_gf")), "match_id").select(*f.columns)
+    told = features.contract_violations(own, matches=m).where("check LIKE 'leaked%'").collect()
+    assert [(r["check"], r["n"]) for r in told] == [("leaked_column:home_ewma_gf", m.count())]

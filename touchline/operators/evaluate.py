@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from touchline.session import written
+
 # --- Fixed values -----------------------------------------------------------
 CLASSES = ["H", "D", "A"]
 PROBABILITIES = ["p_home", "p_draw", "p_away"]
@@ -151,20 +154,23 @@ def select_best(predictions: DataFrame, key: list[str], ranks: dict[str, int], r
     """Tie-aware selection: everyone tied with the lowest mean competes on worst
     fold, then simplicity, then spread. One row per configuration, ``selected`` set on one."""
     by = list(dict.fromkeys(["config_id", rank_column]))
-    summary = config_summary(predictions, by)
-    best = summary.orderBy("mean_log_loss", "config_id").limit(1).first()["config_id"]
-    ours = predictions.where(F.col("config_id") == best)
-    others = predictions.where(F.col("config_id") != best)
+    rows = written(predictions.select(*dict.fromkeys([*key, "fold", *by, "y", *PROBABILITIES])), "selection")
+    summary = config_summary(rows, by)
+    best = summary.agg(F.min_by("config_id", F.struct("mean_log_loss", "config_id")).alias("_best"))  # one row
+    marked = rows.join(F.broadcast(best))
+    ours = marked.where(F.col("config_id") == F.col("_best")).drop("_best")
+    others = marked.where(F.col("config_id") != F.col("_best")).drop("_best")
     # a - b with a the best: the sign does not matter for a tie
     versus = paired_comparison(others, ours, key, ["config_id"]).select("config_id", "mean_diff", "standard_error", "is_tie")
     rank = F.coalesce(F.create_map(*[x for k, v in ranks.items() for x in (F.lit(k), F.lit(v))])[F.col(rank_column)], F.lit(UNRANKED))
-    table = summary.join(versus, "config_id", "left").withColumns({
-        "is_best_mean": F.col("config_id") == best,
-        "is_tied": F.coalesce("is_tie", F.col("config_id") == best),
+    table = summary.join(versus, "config_id", "left").join(F.broadcast(best)).withColumns({
+        "is_best_mean": F.col("config_id") == F.col("_best"),
+        "is_tied": F.coalesce("is_tie", F.col("config_id") == F.col("_best")),
         "complexity": rank,
-    }).drop("is_tie")
-    winner = table.where("is_tied").orderBy("worst_log_loss", "complexity", "log_loss_std", "config_id").limit(1).first()["config_id"]
-    return table.withColumn("selected", F.col("config_id") == winner)
+    }).drop("is_tie", "_best")
+    order = F.struct("worst_log_loss", "complexity", "log_loss_std", "config_id")
+    every = W.partitionBy()  # one row a configuration
+    return table.withColumn("selected", F.col("config_id") == F.min_by("config_id", F.when(F.col("is_tied"), order)).over(every))
 
 
 def class_frequencies(train: DataFrame, by: list[str]) -> DataFrame:

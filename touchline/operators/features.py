@@ -77,12 +77,27 @@ def output_types(wide: DataFrame) -> DataFrame:
     return wide.select(*typed)
 
 
-def contract_violations(features: DataFrame, *, expected_rows: int | None = None,
+#: What a row's own match came to: no feature may carry any of it.
+OUTCOMES = ["fthg", "ftag", "hs", "as_", "hst", "ast", "target"]
+
+
+def leaked_columns(features: DataFrame, matches: DataFrame) -> DataFrame:
+    """(check, n): features that equal one and the same outcome of their own match in every row, nulls included, and vary."""
+    outcomes = matches.select("match_id", *[F.col(c).cast("double").alias(f"_o_{c}") for c in OUTCOMES if c in matches.columns])
+    own = features.select("match_id", F.col("target").cast("double").alias("_o_target"), *S.FEATURE_COLUMNS).join(outcomes, "match_id")
+    known = [c for c in own.columns if c.startswith("_o_")]
+    same = lambda f: sum((F.when(F.col(f).eqNullSafe(F.col(o)), 1 << k).otherwise(0) for k, o in enumerate(known)), F.lit(0))
+    one = own.agg(F.count("*").alias("n"), *[F.struct(F.bit_and(same(f)).alias("as"), (F.min(f) < F.max(f)).alias("varies")).alias(f) for f in S.FEATURE_COLUMNS])
+    each = F.array(*[F.struct(F.concat(F.lit("leaked_column:"), F.lit(f)).alias("check"), F.when((F.col(f)["as"] > 0) & F.col(f)["varies"], F.col("n")).alias("n")) for f in S.FEATURE_COLUMNS])
+    return one.select(F.explode(each).alias("x")).select("x.check", "x.n").where("n > 0")
+
+
+def contract_violations(features: DataFrame, *, matches: DataFrame | None = None, expected_rows: int | None = None,
                         min_periods: int = S.MIN_PERIODS, initial_rating: float = S.INITIAL_RATING) -> DataFrame:
     """Breaches of the feature contract as (check, n) rows; empty means sound.
 
     Schema checks run on the driver against ``features.schema``; all data checks
-    are one aggregation.
+    are one aggregation. With the ``matches`` behind the rows, features that are an outcome of their own match are told too.
     """
     spark = features.sparkSession
     expected = S.METADATA_COLUMNS + S.FEATURE_COLUMNS + ["ftr", "target"]
@@ -93,8 +108,6 @@ def contract_violations(features: DataFrame, *, expected_rows: int | None = None
         ("not_double:" + c, 1) for c in S.FEATURE_COLUMNS
         if c in features.columns and not isinstance(features.schema[c].dataType, T.DoubleType)
     ]
-    leaked = {"fthg", "ftag", "hs", "as_", "hst", "ast", "ftr", "target"} & set(S.FEATURE_COLUMNS)
-    static += [("leaked_column:" + c, 1) for c in sorted(leaked)]
     static_df = spark.createDataFrame(static, "check string, n long")
     if any(c.startswith("missing_column") for c, _ in static):
         return static_df
@@ -131,7 +144,8 @@ def contract_violations(features: DataFrame, *, expected_rows: int | None = None
     long = one.unpivot([], list(checks), "check", "n")
     dup = per_key.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n")).select(
         F.lit("duplicate_key").alias("check"), "n")
-    return static_df.unionByName(long.unionByName(dup).where("n > 0"))
+    found = static_df.unionByName(long.unionByName(dup).where("n > 0"))
+    return found if matches is None else found.unionByName(leaked_columns(features, matches))
 
 
 def cold_start_rows(features: DataFrame) -> DataFrame:
@@ -140,14 +154,11 @@ def cold_start_rows(features: DataFrame) -> DataFrame:
     return features.groupBy("league", "season").agg(F.count_if(cold).alias("cold_rows"), F.count("*").alias("n_rows"))
 
 
-def opening_elo_mean(features: DataFrame) -> DataFrame:
-    """Mean rating of every club at its first fixture of the season."""
-    sides = features.select("league", "season", "match_date", F.explode(F.array(
-        F.struct(F.col("home").alias("team"), F.col("home_elo").alias("elo")),
-        F.struct(F.col("away").alias("team"), F.col("away_elo").alias("elo")),
-    )).alias("s")).select("league", "season", "match_date", "s.*")
-    first = sides.groupBy("league", "season", "team").agg(F.min_by("elo", "match_date").alias("elo"))
-    return first.groupBy("league", "season").agg(F.avg("elo").alias("mean_opening_elo"), F.count("*").alias("n_teams"))
+def opening_elo_mean(rated: DataFrame, index: DataFrame) -> DataFrame:
+    """Mean rating of every club at its first fixture of the season, from the ratings alone. ``index``: :func:`seasons.season_index`."""
+    first = rated.groupBy("league", "season_idx", "team").agg(F.min_by("elo", "match_date").alias("elo"))
+    mean = first.groupBy("league", "season_idx").agg(F.avg("elo").alias("mean_opening_elo"), F.count("*").alias("n_teams"))
+    return mean.join(index.select("league", "season_idx", "season"), ["league", "season_idx"]).drop("season_idx")
 
 
 def target_correlations(features: DataFrame, sealed_from=None) -> DataFrame:

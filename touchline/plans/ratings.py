@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline import schema as S
 from touchline.operators import causal, elo, features, form, seasons
 from touchline.plans import sqltext as Q
+from touchline.plans.models import feature_table
 from touchline.plans.registry import r, register
 from touchline.sources.contests import contests
 
@@ -238,7 +239,7 @@ def matchup_differences(spark, sf):
 @register("p13_feature_contract", f"WITH {Q.CONTESTS} SELECT 'duplicate_key' AS \"check\", (count(*) - count(DISTINCT (league, match_date, home, away)))::BIGINT n "
           "FROM contests HAVING count(*) <> count(DISTINCT (league, match_date, home, away))")
 def feature_contract(spark, sf):
-    return features.contract_violations(features.build_features(contests(spark, sf)))
+    return features.contract_violations(feature_table(spark, sf), matches=contests(spark, sf))
 
 
 @register("p14_cold_start_rows", f"WITH {Q.FORM}, s AS (SELECT DISTINCT league, match_date, team, n_sp FROM form) "
@@ -256,7 +257,8 @@ def cold_start(spark, sf):
   SELECT league, season_idx, team, arg_min(elo, match_date) elo FROM rating GROUP BY league, season_idx, team)
 SELECT league, s.season, {r('avg(elo)')} mean_opening_elo, count(*) n_teams FROM opener JOIN sidx s USING (league, season_idx) GROUP BY league, s.season""")
 def opening_elo(spark, sf):
-    return features.opening_elo_mean(features.build_features(contests(spark, sf)))
+    c = contests(spark, sf)
+    return features.opening_elo_mean(elo.ratings(c, causal.parameter_schedule(c, strict=True)), seasons.season_index(c))
 
 
 @register("a24_target_correlation", f"WITH {Q.FEATURES}, c AS (SELECT "
@@ -264,7 +266,7 @@ def opening_elo(spark, sf):
           + " FROM features WHERE season < 2001) SELECT feature, corr FROM (UNPIVOT c ON "
           + ", ".join(S.FEATURE_COLUMNS) + " INTO NAME feature VALUE corr)")
 def target_correlation(spark, sf):
-    return features.target_correlations(features.build_features(contests(spark, sf)), sealed_from=2001)
+    return features.target_correlations(feature_table(spark, sf), sealed_from=2001)
 
 
 @register("f2_elo_expectancy", f"WITH {Q.CONTESTS} SELECT match_id, {r('1 / (1 + pow(10, -((1400 + 10 * hs) + 45 - (1400 + 10 * as_)) / 400.0::DOUBLE))')} expected, "
