@@ -90,6 +90,17 @@ def test_odd_rows(spark):
     assert sorted(str(r[0]) for r in kept.collect()) == ["1", "10", "2", "3", "4", "9", "None"]
 
 
+def test_ids_with_several_texts(spark):
+    """Each row is linked by its own text: 2 to the first text of id 1, 3 to its second; and to rows without an id."""
+    rng = random.Random(3)
+    a, b, c = ([f"{k}{rng.randrange(10**6)}" for _ in range(80)] for k in "abc")
+    near = lambda w: " ".join([*w[:-2], "x", "y"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (None, " ".join(c)), (None, "alone here"), (9, near(c)), (5, "quite another text")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r["doc_id"], r["component_id"], r["kept"]) for r in N.near_duplicates(df, 2).collect()), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (None, None, True), (None, None, True), (9, None, False), (5, 5, True)], key=str)
+
+
 def test_keys_of_close_signatures():
     """All signatures that differ in fewer than 2 * CHUNKS values share a key."""
     import numpy as np

@@ -42,10 +42,12 @@ def same(left: DataFrame, right: DataFrame, key: list[str]) -> Column:
 
 
 def bounded_sample(df: DataFrame, most: int, id_col: str = "doc_id") -> DataFrame:
-    """About ``most`` rows by a hash of their id, all if there are no more, and never over twice as many. Only those rows move."""
+    """About ``most`` rows by a hash of their id, all if there are no more, and never over twice as many. Only those rows move.
+    Rows without an id go by a hash of all they hold, so that they are not all in or all out."""
     n = df.count()
     if n > most:
-        df = df.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(2**30)) < int(2**30 * most / n))
+        key = F.when(F.col(id_col).isNull(), F.xxhash64(*df.columns)).otherwise(F.xxhash64(F.col(id_col)))
+        df = df.where(F.pmod(key, F.lit(2**30)) < int(2**30 * most / n))
     return df.limit(2 * most)
 
 

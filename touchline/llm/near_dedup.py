@@ -17,7 +17,7 @@ Every link between classes that share a key is thus either confirmed or inside o
 are found by repeatedly joining neighbours to their least neighbour.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts of fewer words than a shingle have one shingle,
-all their words; rows that repeat an id are one document in the result's links and each a row (``first_of_each`` keeps one row of a group, whatever their ids); a null id stands before all others; an empty table
+all their words; rows that repeat an id are rows of their own, each linked by its own text (``first_of_each`` keeps one row of a group, whatever their ids); a null id stands before all others; an empty table
 gives an empty result.
 """
 
@@ -279,10 +279,28 @@ def _open_pairs(far: int, percent: int):
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): components of documents linked by a similarity of ``percent`` or more."""
-    spark = docs.sparkSession
+    """(doc_id, n_shingles, component_id, kept): components of documents linked by a similarity of ``percent`` or more.
+
+    Where an id has several texts, null ids included, rows are numbered and linked as rows; a component's id is then the least id of its rows."""
     df = texts(docs, id_col, text_col).withColumn("doc_id", F.coalesce("doc_id", F.lit(NULL_ID)))
     sketch = written(mapped(df, _sketched(size), SKETCH), "near-sketch")
+    text_of = F.struct("f1", "f2", "n_shingles")
+    if sketch.groupBy("doc_id").agg(F.min(text_of).alias("lo"), F.max(text_of).alias("hi")).where("lo < hi").isEmpty():
+        found = _components_of(df, sketch, size, percent)
+    else:
+        rows = written(df.withColumn("row", F.monotonically_increasing_id()), "near-numbered")
+        own = rows.select(F.col("row").alias("doc_id"), "text")
+        marks = written(_components_of(own, written(mapped(own, _sketched(size), SKETCH), "near-sketch"), size, percent), "near-rows-marked")
+        named = marks.withColumnRenamed("doc_id", "row").join(rows.select("row", "doc_id"), "row").withColumnRenamed("component_id", "own")
+        least = named.groupBy("own").agg(F.min("doc_id").alias("component_id"))
+        found = named.join(least, "own")
+    plain = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
+    return found.select(plain[0], "n_shingles", plain[1], (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
+def _components_of(df: DataFrame, sketch: DataFrame, size: int, percent: int) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for (doc_id, text), where an id has one text."""
+    spark = df.sparkSession
     full = sketch.where("n_shingles > 0")
     classes = written(full.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("doc"), F.first("signature").alias("signature")), "near-classes")
     keys = mapped(classes.select("doc", "signature"), _keyed, "key long, doc long")
@@ -316,8 +334,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
 
     of_class = classes.join(final, "doc", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "doc").alias("component"))
     rows = sketch.join(of_class, ["f1", "f2", "n_shingles"], "left").withColumn("component_id", F.coalesce("component", "doc_id"))
-    plain = [F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "component_id")]
-    return rows.select(plain[0], "n_shingles", plain[1], (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 def first_of_each(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
