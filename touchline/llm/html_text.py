@@ -42,7 +42,7 @@ BINS = 24
 
 # Fixed values of the HTML standard, in its groups.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("head script style template noscript iframe object svg math canvas audio video select textarea button title datalist".split())
+SILENT = frozenset("head script style template iframe canvas audio video select textarea datalist".split())
 RAW = frozenset("script style textarea title".split())
 BLOCK = frozenset("address article aside blockquote body br center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup "
                   "hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
