@@ -115,10 +115,38 @@ def pool_weight_fit(spark, sf):
     return spark.createDataFrame([(f, round(w, 3)) for f, w in sorted(fitted.items())], "meta_fold int, weight double")
 
 
-@register("m8_joint_fit")
+def _meta_fits(rows: str) -> str:
+    """Newton recursions over ``rows`` (meta_fold, z, y, a, d): nt has 1 / T of the scaled model, wn the weight of the raw pool, jn both
+    of the joint one. A parameter at its bound that would leave it rests."""
+    e = "list_transform(z, lambda v: exp(v * b - list_max(z) * b)) e"
+    moments = "(e[1] * z[1] + e[2] * z[2] + e[3] * z[3]) / list_sum(e) mu, (e[1] * z[1] * z[1] + e[2] * z[2] * z[2] + e[3] * z[3] * z[3]) / list_sum(e) s2"
+    return f"""folds0 AS (SELECT DISTINCT meta_fold FROM {rows}),
+nt(i, meta_fold, b) AS (SELECT 0, meta_fold, 1.0::DOUBLE FROM folds0 UNION ALL
+  (WITH q AS (SELECT i, n.meta_fold, b, z, y, {e} FROM nt n JOIN {rows} m ON m.meta_fold = n.meta_fold WHERE i < 15), d AS (SELECT *, {moments} FROM q)
+   SELECT i + 1, meta_fold, least(5.0, greatest(0.2, any_value(b) - avg(mu - z[y + 1]) / avg(s2 - mu * mu))) FROM d GROUP BY i, meta_fold)),
+wn(i, meta_fold, w) AS (SELECT 0, meta_fold, 0.5::DOUBLE FROM folds0 UNION ALL
+  (WITH q AS (SELECT i, n.meta_fold, w, (a - d) / greatest(w * a + (1 - w) * d, 1e-15) g FROM wn n JOIN {rows} m ON m.meta_fold = n.meta_fold WHERE i < 40)
+   SELECT i + 1, meta_fold, least(1.0, greatest(0.0, any_value(w) + avg(g) / avg(g * g))) FROM q GROUP BY i, meta_fold)),
+jn(i, meta_fold, b, w) AS (SELECT 0, meta_fold, 1.0::DOUBLE, 0.5::DOUBLE FROM folds0 UNION ALL
+  (WITH q0 AS (SELECT i, n.meta_fold, b, w, z, y, d, {e} FROM jn n JOIN {rows} m ON m.meta_fold = n.meta_fold WHERE i < 60),
+   q1 AS (SELECT *, e[y + 1] / list_sum(e) qy, {moments} FROM q0), q2 AS (SELECT *, z[y + 1] - mu u, greatest(w * qy + (1 - w) * d, 1e-15) mm FROM q1),
+   q3 AS (SELECT *, w * qy * u / mm rb, (qy - d) / mm rw FROM q2),
+   g AS (SELECT i, meta_fold, any_value(b) b, any_value(w) w, avg(-rb) gb, avg(-rw) gw, abs(avg(rb * rb - w * qy * (u * u - (s2 - mu * mu)) / mm)) + 1e-9 hbb, avg(rw * rw) + 1e-9 hww,
+     avg(rb * rw - qy * u / mm) hbw FROM q3 GROUP BY i, meta_fold),
+   f AS (SELECT *, NOT ((w <= 0 AND gw > 0) OR (w >= 1 AND gw < 0)) free, CASE WHEN hbb * hww > hbw * hbw THEN hbw ELSE 0 END h FROM g)
+   SELECT i + 1, meta_fold, least(5.0, greatest(0.2, CASE WHEN free THEN b - (hww * gb - h * gw) / (hbb * hww - h * h) ELSE b - gb / hbb END)),
+     least(1.0, greatest(0.0, CASE WHEN free THEN w - (hbb * gw - h * gb) / (hbb * hww - h * h) ELSE w END)) FROM f))"""
+
+
+_OF_Y = "[ah, ad, aa][y + 1] a, [bh, bd, ba][y + 1] d"
+FITTED = MERGED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", fitrow AS MATERIALIZED (SELECT meta_fold, z, y, {_OF_Y} FROM meta WHERE part = 'train' UNION ALL
+  SELECT 0, [greatest(ln(ah), -34.5), greatest(ln(ad), -34.5), greatest(ln(aa), -34.5)], y, {_OF_Y} FROM merged), {_meta_fits("fitrow")}"""
+
+
+@register("m8_joint_fit", FITTED + f" SELECT meta_fold, {r('1 / b', 4)} temperature, {r('w', 4)} weight FROM jn WHERE i = 60 AND meta_fold > 0")
 def joint_fit(spark, sf):
     fitted = calibrate.fit_joint(training_rows(spark, sf))
-    return spark.createDataFrame([(f, t, w) for f, (t, w) in sorted(fitted.items())], "meta_fold int, temperature double, weight double")
+    return spark.createDataFrame([(f, round(t, 4), round(w, 4)) for f, (t, w) in sorted(fitted.items())], "meta_fold int, temperature double, weight double")
 
 
 FIXED_PARAMS = {"raw_trio": {1: (1.0, 1.0), 2: (1.0, 1.0)}, "temperature_trio": {1: (1.3, 1.0), 2: (1.6, 1.0)},
@@ -155,7 +183,19 @@ def best_challenger(spark, sf):
     return config_summary(calibrate.apply_candidates(rows, some), ["config_id"]).orderBy("mean_log_loss").limit(1).select("config_id", "mean_log_loss")
 
 
-@register("k4_k6_meta_validation")
+@register("k4_k6_meta_validation", FITTED + f""", nt1 AS MATERIALIZED (SELECT meta_fold, 1 / b t FROM nt WHERE i = 15), wn1 AS MATERIALIZED (SELECT meta_fold, w FROM wn WHERE i = 40), jn1 AS MATERIALIZED (SELECT meta_fold, 1 / b t, w FROM jn WHERE i = 60),
+par AS (SELECT 'raw_trio' cand, meta_fold, 1.0::DOUBLE t, 1.0::DOUBLE w, 0 np FROM nt1 UNION ALL SELECT 'temperature_trio', meta_fold, t, 1.0, 1 FROM nt1
+  UNION ALL SELECT 'pool_raw_trio', meta_fold, 1.0, w, 1 FROM wn1 UNION ALL SELECT 'pool_calibrated_trio', meta_fold, t, w, 2 FROM jn1),
+c AS MATERIALIZED (SELECT match_id, m.meta_fold, cand, np, w * exp(z[y + 1] / t) / (exp(z[1] / t) + exp(z[2] / t) + exp(z[3] / t)) + (1 - w) * [bh, bd, ba][y + 1] py FROM meta m JOIN par USING (meta_fold) WHERE part = 'evaluate'),
+f AS (SELECT cand, meta_fold, any_value(np) np, avg({_LL}) ll FROM c GROUP BY cand, meta_fold), i AS (SELECT meta_fold, ll inc FROM f WHERE cand = 'raw_trio'),
+v AS (SELECT cand, any_value(np) np, avg(ll) m, avg(inc) mi, avg(ll) < avg(inc) lower_mean, bool_and(ll < inc) every, max(ll) <= max(inc) worst FROM f JOIN i USING (meta_fold) WHERE cand <> 'raw_trio' GROUP BY cand),
+p AS (SELECT x.cand, avg(-ln(x.py) + ln(o.py)) md, stddev_samp(-ln(x.py) + ln(o.py)) / sqrt(count(*)) se, count(*) n
+  FROM c x JOIN c o ON o.cand = 'raw_trio' AND o.match_id = x.match_id AND o.meta_fold = x.meta_fold WHERE x.cand <> 'raw_trio' GROUP BY x.cand),
+t AS (SELECT *, abs(md) >= 2 * se AND md < 0 improved FROM v JOIN p USING (cand)),
+s AS (SELECT coalesce((SELECT cand FROM t WHERE lower_mean AND improved AND every AND worst ORDER BY m, np, cand LIMIT 1), 'raw_trio') selected),
+last AS (SELECT t, w FROM par, s WHERE meta_fold = 0 AND cand = selected)
+SELECT cand config_id, {r('m')} mean_log_loss, {r('mi')} incumbent_mean, lower_mean, every better_every_season, worst no_worse_worst_season, {r('md')} mean_diff,
+  n, {r('se')} standard_error, improved paired_improvement, lower_mean AND improved AND every AND worst passes, np n_params, selected, {r('last.t', 4)} final_temperature, {r('last.w', 4)} final_weight FROM t, s, last""")
 def meta_validation(spark, sf):
     """All candidates fitted per meta-fold, judged, and the final parameters."""
     all_rows = written(calibrate.meta_rows(merged(spark, sf), META_FOLDS), "meta")
@@ -164,4 +204,4 @@ def meta_validation(spark, sf):
     verdicts = calibrate.incumbent_verdicts(scored, ["match_id", "fold"])
     selected = verdicts.select("selected").first()["selected"]
     t, w = calibrate.final_parameters(merged(spark, sf), selected)
-    return verdicts.withColumns({"final_temperature": F.lit(t), "final_weight": F.lit(w)})
+    return verdicts.withColumns({"final_temperature": F.lit(round(t, 4)), "final_weight": F.lit(round(w, 4))})
