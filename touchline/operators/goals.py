@@ -223,6 +223,30 @@ def fit_goal_models(pair_statistics: DataFrame, configs: dict = CONFIGS) -> Data
     return fitted.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in doubles})
 
 
+def score_identities(pair_statistics: DataFrame, fits: DataFrame, configs: dict = CONFIGS) -> DataFrame:
+    """What the fitted models say that each team has scored and conceded in training: (league, fold, config_id, team, scored, conceded).
+
+    At the optimum the derivative of the loss by a team's attack is zero, and so is the multiplier of the zero sum because the
+    intercept is free: expected goals, low-score corrections and the pull of the penalty add up to the goals that there were. From
+    pair sums and stored parameters alone; a team at the bound of its parameters is the exception."""
+    c = F.col
+    named = fits.where("status = 'fitted'").select("league", "fold", "config_id", "team", "attack", "defence", "intercept", "home_advantage", F.coalesce("rho", F.lit(0.0)).alias("rho"))
+    side = lambda s: named.select("league", "fold", "config_id", c("team").alias(s), c("attack").alias(f"{s}_attack"), c("defence").alias(f"{s}_defence"), *(["intercept", "home_advantage", "rho"] if s == "home" else []))
+    decayed = c("config_id").isin([k for k, v in configs.items() if v[2]])
+    rows = pair_statistics.join(side("home"), ["league", "fold", "home"]).join(side("away"), ["league", "fold", "config_id", "away"])
+    rows = rows.withColumns({f"_{k}": F.when(decayed, c(f"d_{k}")).otherwise(c(k)) for k in SUMS})
+    rows = rows.withColumns({"lh": F.exp(c("intercept") + c("home_advantage") + c("home_attack") + c("away_defence")), "la": F.exp(c("intercept") + c("away_attack") + c("home_defence"))})
+    both = c("_w00") * c("lh") * c("la") * c("rho") / (1 - c("lh") * c("la") * c("rho"))
+    at_home = c("_w") * c("lh") + both - c("_w01") * c("lh") * c("rho") / (1 + c("lh") * c("rho"))
+    away = c("_w") * c("la") + both - c("_w10") * c("la") * c("rho") / (1 + c("la") * c("rho"))
+    each = rows.select("league", "fold", "config_id", F.explode(F.array(
+        F.struct(c("home").alias("team"), at_home.alias("scored"), away.alias("conceded")), F.struct(c("away").alias("team"), away.alias("scored"), at_home.alias("conceded")))).alias("s"))
+    sums = each.groupBy("league", "fold", "config_id", "s.team").agg(F.sum("s.scored").alias("scored"), F.sum("s.conceded").alias("conceded"))
+    ridge = F.create_map(*[x for k, v in configs.items() for x in (F.lit(k), F.lit(0.0 if v[1] is None else 1.0 / v[1] ** 2))])[c("config_id")]
+    return sums.join(named.select("league", "fold", "config_id", "team", "attack", "defence"), ["league", "fold", "config_id", "team"]).select(
+        "league", "fold", "config_id", "team", (c("scored") + ridge * c("attack")).alias("scored"), (c("conceded") + ridge * c("defence")).alias("conceded"))
+
+
 def promoted_offsets(matches: DataFrame, folds: list[Fold]) -> DataFrame:
     """Attack and defence of a club never seen in training: mean log ratio of
     debut team-seasons to their league's goals per team-match; 0 without any."""

@@ -201,6 +201,27 @@ def goal_model_fit(spark, sf):
     return all_fits(spark, sf)
 
 
+def goals_scored_sql(folds: str, configs: str) -> str:
+    """Goals of each team in the training rows of each fold, by the weights of each configuration."""
+    return f"""WITH {Q.TEAM_ROWS}, fd(fold, cutoff) AS (VALUES {folds}), rows0 AS (SELECT fold, tr.*, max(match_date) OVER (PARTITION BY league, fold) ends FROM tr JOIN fd ON season <= cutoff),
+cf(config_id, halflife) AS (VALUES {configs}), wt AS (SELECT *, CASE WHEN halflife IS NULL THEN 1.0 ELSE exp(-ln(2.0) / halflife * (ends - match_date)) END::DOUBLE wt FROM rows0, cf)
+SELECT league, fold, config_id, team, {r('sum(wt * gf)', 3)} scored, {r('sum(wt * ga)', 3)} conceded FROM wt GROUP BY league, fold, config_id, team"""
+
+
+def rounded_scores(df):
+    return df.withColumns({k: F.round(k, 3) for k in ("scored", "conceded")})
+
+
+_CONFIGS = ", ".join(f"('{k}', {v[2] or 'NULL::DOUBLE'})" for k, v in goals.CONFIGS.items())
+
+
+@register("m4_goal_model_identities", goals_scored_sql(", ".join(f"({n}, {c})" for n, c, _ in FOLDS), _CONFIGS))
+def goal_model_identities(spark, sf):
+    """At the optimum of every fit, each team's expected goals with corrections and penalty are the goals it has scored and conceded."""
+    pairs = pair_statistics(spark, sf)
+    return rounded_scores(goals.score_identities(pairs, all_fits(spark, sf)))
+
+
 @register("j15_config_fold_matrix", f"WITH {Q.CONTESTS}, {FOLD_SQL} SELECT DISTINCT league, fold, config_id FROM contests JOIN fd ON season <= cutoff, "
           "(VALUES ('poisson'), ('poisson_l2'), ('dixon_coles'), ('dixon_coles_l2'), ('dixon_coles_l2_decay')) c(config_id)")
 def config_fold_matrix(spark, sf):

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import causal, elo, form, goals, seasons
 from touchline.plans import sqltext as Q
-from touchline.plans.goals import FOLDS, RATED, moment_fits
+from touchline.plans.goals import FOLDS, RATED, goals_scored_sql, moment_fits, rounded_scores
 from touchline.plans.models import feature_table
 from touchline.plans.registry import r, register
 from touchline.session import fresh_path, refuse_if_any, written
@@ -72,6 +72,15 @@ def final_goal_model(spark, sf):
     return read.join(offsets, ["league", "fold"]).join(F.broadcast(seen), ["league", "fold"]).drop("fold", "status").withColumn("team", F.col("team").cast("long"))
 
 
+@register("m14_goal_model_identities", goals_scored_sql(f"(4, {SEALED - 1})", f"('{FROZEN}', {goals.CONFIGS[FROZEN][2]})"))
+def final_model_identities(spark, sf):
+    """The saved and reread parameters are at the optimum of all contests before the sealed season: their goals are those that were scored."""
+    c = contests(spark, sf).where(F.col("season") < SEALED)
+    pairs = goals.fold_pair_statistics(goals.season_pair_statistics(c), [(4, SEALED - 1, SEALED)])
+    model = final_goal_model(spark, sf).withColumns({"fold": F.lit(4), "config_id": F.lit(FROZEN), "status": F.lit("fitted")})
+    return rounded_scores(goals.score_identities(pairs, model))
+
+
 def probe_state(matches, schedule=None):
     """Pre-match form and ratings of every team day."""
     m = seasons.with_season_index(matches)
