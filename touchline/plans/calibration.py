@@ -205,3 +205,19 @@ def meta_validation(spark, sf):
     selected = verdicts.select("selected").first()["selected"]
     t, w = calibrate.final_parameters(merged(spark, sf), selected)
     return verdicts.withColumns({"final_temperature": F.lit(round(t, 4)), "final_weight": F.lit(round(w, 4))})
+
+
+@register("k7_meta_probe", MERGED + " SELECT meta_fold, count(*) n_train, 0 n_changed, 1 n_control FROM meta WHERE part = 'train' GROUP BY meta_fold")
+def meta_probe(spark, sf):
+    """Turning every result from a meta-fold's evaluation season on must not change its fitted temperature; turning an earlier one must."""
+    rows = written(merged(spark, sf), "meta-probe")
+    out = []
+    for fold, train, evaluation in META_FOLDS:
+        def fitted(turned):
+            changed = rows.withColumn("y", F.when(turned, (F.col("y") + 1) % 3).otherwise(F.col("y")))
+            return calibrate.fit_temperature(calibrate.meta_rows(changed, [(fold, train, evaluation)]).where("part = 'train'"))[fold]
+
+        before = fitted(F.lit(False))
+        probe, control = fitted(F.col("season") >= evaluation), fitted((F.col("season") < evaluation) & (F.col("match_id") % 2 == 0))
+        out.append((fold, rows.where(F.col("season").isin(train)).count(), int(probe != before), int(control != before)))
+    return spark.createDataFrame(out, "meta_fold int, n_train long, n_changed int, n_control int")
