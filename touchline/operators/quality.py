@@ -196,14 +196,3 @@ def schema_drift(file_columns: DataFrame) -> DataFrame:
 def is_bookmaker(column: Column) -> Column:
     """Column names starting with a bookmaker prefix. Descriptive only."""
     return column.rlike("^(" + "|".join(S.BOOKMAKER_PREFIXES) + ")")
-
-
-def to_contests(matches: DataFrame, league: int = 0) -> DataFrame:
-    """Cleaned season rows in the contest layout, with stable match ids."""
-    return matches.select(
-        F.xxhash64("Season", "Date", "HomeTeam", "AwayTeam").alias("match_id"),
-        F.lit(league).alias("league"), F.col("Season").alias("season"), F.col("Date").alias("match_date"),
-        F.col("HomeTeam").alias("home"), F.col("AwayTeam").alias("away"),
-        F.col("FTHG").alias("fthg"), F.col("FTAG").alias("ftag"), F.col("HS").alias("hs"), F.col("AS").alias("as_"),
-        F.col("HST").alias("hst"), F.col("AST").alias("ast"), F.col("FTR").alias("ftr"),
-    )

@@ -53,11 +53,6 @@ APPROVED_FOLDS = [
     (2, "2022_23", "2023_24"),
     (3, "2023_24", "2024_25"),
 ]
-# Chronological meta-folds: (fold, training seasons, evaluation season).
-APPROVED_META_FOLDS = [
-    (1, ["2022_23"], "2023_24"),
-    (2, ["2022_23", "2023_24"], "2024_25"),
-]
 
 METADATA_COLUMNS = [
     "season", "match_date", "home", "away",
