@@ -240,3 +240,14 @@ def op12_hard_negatives(spark, sf_dir: str) -> DataFrame:
     """Anchors: ids divisible by 50. Ids divisible by 7 carry the next of ten labels."""
     rows = integer_rows(table(spark, sf_dir, "embeddings"), lambda i, label: F.when(i % 7 == 0, (label + 1) % 10).otherwise(label))
     return mined(rows, F.col("id") % 50 == 0)
+
+
+#: Every score of every anchor: a plain statement of the same result.
+SQL = """WITH e AS (SELECT vec_id id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END label, list_transform(embedding, lambda c: floor(256 * c::DOUBLE)) x FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+a AS (SELECT * FROM e WHERE id % 50 = 0),
+s AS MATERIALIZED (SELECT a.id anchor_id, a.label anchor_label, e.id, e.label, list_dot_product(a.x, e.x)::BIGINT score FROM a JOIN e ON a.id <> e.id),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) k FROM s WHERE label = anchor_label QUALIFY k <= 5),
+n AS (SELECT p.anchor_id, p.id positive_id, s.id negative_id, p.score positive_score, s.score negative_score, row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) k
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.anchor_label AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, k::INTEGER AS "rank", negative_id, positive_score, negative_score FROM n WHERE k <= 3"""

@@ -20,4 +20,4 @@ QUERIES = {
     "op13_toxicity": toxicity.op13_toxicity,
 }
 
-ORACLES = {"op5_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL}
+ORACLES = {"op5_decontamination": decontamination.SQL, "op9_mixing": mixing.SQL, "op12_hard_negatives": hard_negatives.SQL}
