@@ -167,7 +167,9 @@ def contest_levels(pairs: DataFrame) -> DataFrame:
         step = fresh_path(spark, "rating-open")
         sides.write.parquet(step)
         got = spark.read.schema(schema).parquet(step)
-        got.where("level IS NOT NULL AND team = home").select(*columns, "level").write.partitionBy("season_idx", "level").mode("append").parquet(path)
+        settled = got.where("level IS NOT NULL AND team = home").select(*columns, "level")
+        # small levels share a task, large ones are split: few files a level, whatever its size
+        settled.hint("rebalance", F.col("season_idx"), F.col("level")).write.partitionBy("season_idx", "level").mode("append").parquet(path)
         sides = got.where("level IS NULL")
         if sides.isEmpty():
             return spark.read.schema(pairs.withColumn("level", F.lit(0)).schema).parquet(path)
