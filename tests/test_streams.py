@@ -45,6 +45,20 @@ def test_snapshots_come_back_whole(spark, tmp_path):
     assert third.reason == "no snapshot" and third.snapshot is None and third.is_stale
 
 
+def test_state_under_a_session_that_names_no_store(spark, tmp_path):
+    """Spark's own default keeps one column family, stateful processors need several."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    mine, default = spark.conf.get(name), "org.apache.spark.sql.execution.streaming.state.HDFSBackedStateStoreProvider"
+    spark.conf.set(name, default)
+    try:
+        source = _source(spark, str(tmp_path / "in"), [[_row(1, 0, 1, k=3)], [_row(1, 20, 2, k=8), _row(2, 5, 1)]], SCHEMA)
+        run_to_table(snapshots.latest_snapshots(source, 300), str(tmp_path / "out"), str(tmp_path / "cp"), "update")
+        assert spark.conf.get(name) == default
+    finally:
+        spark.conf.set(name, mine)
+    assert sorted((r.fixture_id, r.tie) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [(1, 1), (1, 2), (2, 1)]
+
+
 def test_the_clock_makes_answers_stale(spark, tmp_path):
     source = _source(spark, str(tmp_path / "in"), [[_row(1, 0, 1)], [_row(2, 0, 1)]], SCHEMA)
     answers = snapshots.latest_snapshots(source, 2, keep_seconds=3600, by_clock=True)
