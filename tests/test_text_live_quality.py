@@ -188,3 +188,25 @@ def test_known_correction(spark):
 def test_missing_whitelisted_column(spark):
     with pytest.raises(ValueError, match="Referee"):
         quality.whitelist(spark.createDataFrame([raw_row()]).drop("Referee"))
+
+
+def test_names_of_neither_side(spark):
+    """Blocks of clubs that do not play are resolved however many an entry names: by joins, and beyond ``STRANGERS`` of them by the map."""
+    aliases = spark.createDataFrame([(f"c{i}", f"id{i}") for i in range(12)], "alias string, canonical_id string")
+    from touchline.sources.provider_json import LIVE_SCHEMA
+
+    def entry(k, names):
+        team = [{"team": {"name": n}} for n in names]
+        return {"fixture": {"id": k}, "teams": {"home": {"name": "C0"}, "away": {"name": "C1"}}, "events": team}
+
+    cases = {1: ["C0", "C1"], 2: ["C2", "nobody", None, "C2"], 3: ["C5", "C4", "C1", "C3"], 4: ["C2", "C3", "nobody", "C4", "C5", "C0", "C11"]}
+    from pyspark.sql.types import _parse_datatype_string
+
+    schema = LIVE_SCHEMA if not isinstance(LIVE_SCHEMA, str) else _parse_datatype_string(LIVE_SCHEMA)
+    rows = spark.createDataFrame([entry(k, v) for k, v in cases.items()], schema)
+    got = live.parse_snapshots(rows, aliases, "2024_25")
+    want = {str(k): [n and {"nobody": None}.get(n, n.replace("C", "id")) for n in v] for k, v in cases.items()}
+    assert {r["fixture_id"]: [e["team_id"] for e in r["events"]] for r in got.collect()} == want
+    # no nested loop gives each entry a column of all clubs: the map is joined under a condition
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Cross" not in plan
