@@ -168,3 +168,16 @@ def test_a_feature_that_is_an_outcome_is_told(make_matches):
     own = f.drop("home_ewma_gf").join(m.select("match_id", F.col("fthg").cast("double").alias("home_ewma_gf")), "match_id").select(*f.columns)
     told = features.contract_violations(own, matches=m).where("check LIKE 'leaked%'").collect()
     assert [(r["check"], r["n"]) for r in told] == [("leaked_column:home_ewma_gf", m.count())]
+
+
+def test_tasks_of_the_form_windows_follow_the_days(spark, monkeypatch):
+    """120 team-days at 10 a task: 12 partitions, which AQE leaves alone, and the state of one partition."""
+    rows = [(i, i % 3, 2000 + i // 30, dt.date(2000 + i // 30, 1, 1) + dt.timedelta(days=i % 30), 2 * (i % 5), 2 * (i % 5) + 1, i % 4, i % 3, 9, 8, 4, 3, "HDA"[i % 3])
+            for i in range(60)]
+    m = seasons.with_season_index(spark.createDataFrame(rows, S.CONTEST_SCHEMA))
+    key = lambda df: sorted(map(str, df.collect()))
+    whole = key(form.team_state(form.team_days(m)))
+    monkeypatch.setattr(form, "STATE_ROWS", 10)
+    got = form.team_state(form.team_days(m))
+    assert got.rdd.getNumPartitions() == 12 and len(whole) == 120
+    assert key(got) == whole
