@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -78,6 +79,27 @@ def test_fit_is_a_stationary_point(use_rho, sigma):
         assert loss(*moved) >= base - 1e-9
 
 
+def test_a_fit_holds_little_beside_its_sums():
+    """Four blocks of pairs and one give the same fit; rates and slopes of all pairs at once are never held."""
+    rng = np.random.default_rng(3)
+    n, m = 300, 4 * goals.PAIR_BLOCK - 7
+    home, away = rng.integers(0, n, m, dtype=np.int32), rng.integers(0, n, m, dtype=np.int32)
+    hg, ag = rng.poisson(1.6, m).astype(float), rng.poisson(1.2, m).astype(float)
+    s = {"w": np.ones(m), "whg": hg, "wag": ag, **{f"w{x}{y}": ((hg == x) & (ag == y)).astype(float) for x in (0, 1) for y in (0, 1)}}
+    tracemalloc.start()
+    fit = goals.fit_pairs(home, away, n, s, True, 0.25)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert fit["status"] == "fitted" and peak < 80 * m
+    whole = pytest.MonkeyPatch()
+    whole.setattr(goals, "PAIR_BLOCK", m)
+    try:
+        again = goals.fit_pairs(home, away, n, s, True, 0.25)
+    finally:
+        whole.undo()
+    assert np.abs(fit["atk"] - again["atk"]).max() < 1e-7 and abs(fit["rho"] - again["rho"]) < 1e-7
+
+
 def test_decay_halves_in_a_year(spark):
     rows = spark.sql("SELECT 1 g, date'2020-01-01' match_date UNION ALL SELECT 1, date'2019-01-01'")
     got = {str(r["match_date"]): r["weight"] for r in goals.decay_weights(rows, ["g"], 365.0).collect()}
