@@ -1,6 +1,7 @@
 import datetime as dt
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +67,15 @@ def test_entity_tags_against_brute_force(spark):
     assert by_doc == {i: w for i, t in docs if (w := brute_tags(t.split(), index, 3))}
 
 
+def test_tags_are_made_a_few_texts_at_a_time():
+    index = teams.first_words([("a", "1"), ("b c", "2")], 2)
+    texts = ["a b c", None, "x", "c b", "b c a a"] * 200
+    got = list(teams.tagged(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts)], names=["k", "t"])]), index, "k"))
+    assert max(len(set(b.column(0).to_pylist())) for b in got) <= teams.TEXTS_AT_ONCE
+    rows = [tuple(r.values()) for b in got for r in b.to_pylist()]
+    assert rows == [(k, n + 1, *m) for k, t in enumerate(texts) if t for n, m in enumerate(teams.mentions_of(t.split(" "), index))]
+
+
 @pytest.mark.parametrize("text,intent,failure", [
     ("Who is top of the table?", "SIMPLE_FACT", None), ("What injuries affect Arsenal's next match?", "RESEARCH", None),
     ("Analyse their recent form considering injuries", "COMPLEX_SYNTHESIS", None), ("Compare injuries", None, "MULTIPLE_INTENTS"),
