@@ -1,5 +1,6 @@
 import datetime as dt
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -133,6 +134,32 @@ def test_levels_of_contests(make_matches):
     assert got == {(d, c(h), c(a)): k for (d, h, a), k in want.items()}
 
 
+def test_levels_share_steps(make_matches, monkeypatch):
+    """Small levels are played together, one larger than the bound alone; the ratings are those of the pass."""
+    m = random_league(make_matches, n_seasons=2)
+    first = m.where("match_date < date_add(make_date(season, 1, 1), 25)").unionByName(
+        m.where("match_date < date_add(make_date(season, 1, 1), 12)").withColumn("league", F.lit(1)))
+    schedule = causal.constant_schedule(first, 60.0, 0.7, -80.0)
+    levels = elo.contest_levels(elo.pair_days(seasons.with_season_index(first)))
+    sizes = [r["count"] for r in levels.groupBy("season_idx", "level").count().collect()]
+    paths, fresh_path = [], elo.fresh_path
+    monkeypatch.setattr(elo, "fresh_path", lambda spark, label: paths.append(fresh_path(spark, label)) or paths[-1])
+    want = {tuple(r)[:4]: r["elo"] for r in elo.ratings(first, schedule).collect()}
+    steps = {}
+    for rows in (elo.LEVEL_ROWS, max(sizes), min(sizes)):
+        got = elo.ratings_by_levels(first, schedule, level_rows=rows).select("league", "season_idx", "match_date", "team", "elo").collect()
+        steps[rows] = len(list(Path(next(p for p in reversed(paths) if "rating-states" in p)).glob("step=*")))
+        assert len(got) == len(want) and {tuple(r)[:4]: r["elo"] for r in got} == pytest.approx(want, abs=1e-9)
+    assert steps[elo.LEVEL_ROWS] == 4 and len(sizes) + 2 >= steps[min(sizes)] > 4
+
+
+def test_levels_by_pass_and_by_steps(make_matches):
+    m = random_league(make_matches, n_seasons=1).where("match_date < date_add(make_date(season, 1, 1), 12)")
+    pairs = elo.pair_days(seasons.with_season_index(m))
+    rows = lambda df: sorted(tuple(r) for r in df.select("league", "season_idx", "match_date", "home", "away", "level").collect())
+    assert rows(elo.contest_levels(pairs)) == rows(elo.contest_levels(pairs, pass_rows=1))
+
+
 def test_schedule_is_causal_and_names_failures(make_matches):
     m = random_league(make_matches)
     s = causal.parameter_schedule(m)

@@ -7,7 +7,8 @@ of the deltas of equal fixtures depends only on their number and total score.
 Two forms give the same ratings. A pass reads one league's log as Arrow batches
 in date order and keeps one number per team: few jobs, one task a league. The
 form by levels plays all contests that do not need each other at once, in joins
-and aggregations over all leagues: as many jobs as levels, no group at all.
+and aggregations over all leagues; successive levels of few contests share a
+step, in which a task plays one league's contests of those levels.
 """
 
 from __future__ import annotations
@@ -142,20 +143,55 @@ def ratings(matches: DataFrame, schedule: DataFrame, pass_rows: int = PASS_ROWS)
     return ordered.groupBy("league").applyInArrow(_rating_pass, RATING_SCHEMA)
 
 
+def _level_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    last: dict[int, tuple] = {}  # a team's latest day, its level before that day and after
+    for batch in batches:
+        levels = []
+        for day, home, away in zip(*(batch.column(c).to_pylist() for c in ("match_date", "home", "away"))):
+            level = 1
+            for team in (home, away):
+                seen = last.get(team)
+                if seen:
+                    level = max(level, 1 + (seen[1] if seen[0] == day else seen[2]))
+            for team in (home, away):
+                seen = last.get(team)
+                if seen and seen[0] == day:
+                    last[team] = (day, seen[1], max(seen[2], level))
+                else:
+                    last[team] = (day, seen[2] if seen else 0, level)
+            levels.append(level)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(levels, pa.int32())], names=[*batch.schema.names, "level"])
+
+
 #: Levels found by one plan, before its rows are written.
 LEVELS_EACH = 4
 
 
-def contest_levels(pairs: DataFrame) -> DataFrame:
+def _write_levels(settled: DataFrame, path: str) -> None:
+    # small levels share a task, large ones are split: few files a level, whatever its size
+    settled.hint("rebalance", F.col("season_idx"), F.col("level")).write.partitionBy("season_idx", "level").mode("append").parquet(path)
+
+
+def contest_levels(pairs: DataFrame, pass_rows: int = PASS_ROWS) -> DataFrame:
     """Each pair-day with its ``level`` in the season's graph of contests: one more than the highest level of the contests
     on the last earlier day of either side. Contests of one level need nothing of each other, whatever their dates.
 
-    In every step the contests on the first open day of both their sides get the next level; all leagues and seasons take
-    their steps together, and a step reads only what is still open. Levels are written as directories of one table."""
+    Seasons of up to ``pass_rows`` pair-days are each read once in order of date, by one task that keeps the levels of the
+    season's teams. Where a season is longer, in every step the contests on the first open day of both their sides get the
+    next level; all leagues and seasons take their steps together, and a step reads only what is still open. Levels are
+    written as directories of one table."""
+    pairs = written(pairs, "rating-pairs")
     spark = pairs.sparkSession
     path = fresh_path(spark, "rating-levels")
     game = ["league", "season_idx", "match_date", "home", "away"]
     columns = pairs.columns
+    table = lambda: spark.read.schema(pairs.withColumn("level", F.lit(0)).schema).parquet(path)
+    longest = pairs.groupBy("league", "season_idx").count().agg(F.max("count")).first()[0]
+    if (longest or 0) <= pass_rows:
+        ordered = pairs.repartition("league", "season_idx").sortWithinPartitions("league", "season_idx", "match_date")
+        passed = ordered.groupBy("league", "season_idx").applyInArrow(_level_pass, pairs.withColumn("level", F.lit(None).cast("int")).schema)
+        _write_levels(passed, path)
+        return table()
     sides = pairs.withColumn("team", F.explode(F.array("home", "away"))).withColumn("level", F.lit(None).cast("int"))
     schema, k = sides.schema, 0
     while True:
@@ -168,25 +204,79 @@ def contest_levels(pairs: DataFrame) -> DataFrame:
         sides.write.parquet(step)
         got = spark.read.schema(schema).parquet(step)
         settled = got.where("level IS NOT NULL AND team = home").select(*columns, "level")
-        # small levels share a task, large ones are split: few files a level, whatever its size
-        settled.hint("rebalance", F.col("season_idx"), F.col("level")).write.partitionBy("season_idx", "level").mode("append").parquet(path)
+        _write_levels(settled, path)
         sides = got.where("level IS NULL")
         if sides.isEmpty():
-            return spark.read.schema(pairs.withColumn("level", F.lit(0)).schema).parquet(path)
+            return table()
+
+
+#: Pair-days of successive levels that one step plays, a task a league; a level of more is a step of its own, spread over all tasks.
+LEVEL_ROWS = 500_000
+
+
+def _blocks(sizes: list[tuple[int, int]], rows: int) -> list[tuple[int, int, bool]]:
+    """Runs (first level, last level, whether a task a league may play them) of the levels of a season and their sizes."""
+    out, held = [], 0
+    for level, n in sorted(sizes):
+        if out and out[-1][2] and held + n <= rows:
+            out[-1], held = (out[-1][0], level, True), held + n
+        else:
+            out.append((level, level, n <= rows))
+            held = n
+    return out
+
+
+# A row that begins a day is fresh; a team's last row of a step is what the next one starts from.
+_STATE = "league int, team long, base double, day date, change double, season_idx int, fresh boolean, last boolean"
+_STATE_COLUMNS = [c.split()[0] for c in _STATE.split(", ")]
+
 
+def _block_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One league: the state of the teams that play (level 0), then their contests by level."""
+    state: dict[int, list] = {}  # league, team, base, day, change, season_idx, fresh
+    out: list[tuple] = []
+    types = [pa.int32(), pa.int64(), pa.float64(), pa.date32(), pa.float64(), pa.int32(), pa.bool_(), pa.bool_()]
+
+    def flush():
+        batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=_STATE_COLUMNS)
+        out.clear()
+        return batch
 
-_STATE = "league int, team long, base double, day date, change double, season_idx int, fresh boolean"
+    names = ["league", "season_idx", "level", "day", "home", "away", "n", "score", "home_advantage", "k_factor", "base", "change"]
+    for batch in batches:
+        for league, season, level, day, home, away, n, score, adv, k, base, change in zip(*(batch.column(c).to_pylist() for c in names)):
+            if level == 0:
+                state[home] = [league, home, base, day, change, season, False]
+                continue
+            sides = state[home], state[away]
+            rh, ra = (s[2] if s[3] == day else s[2] + s[4] for s in sides)
+            moved = k * (score - n / (1.0 + 10.0 ** (-(rh + adv - ra) / 400.0)))
+            for s, more in zip(sides, (moved, -moved)):
+                if s[3] == day:
+                    s[4] += more
+                    continue
+                if s[6]:
+                    out.append((*s, False))
+                s[2:] = [s[2] + s[4], day, more, season, True]
+        if len(out) >= 50_000:
+            yield flush()
+    out.extend((*s, True) for s in state.values())
+    if out:
+        yield flush()
 
 
-def _by_levels(log: DataFrame) -> DataFrame:
-    """The recurrence over levels: one join and one aggregation for all contests of a level, season openings in between.
+def _by_levels(log: DataFrame, level_rows: int = LEVEL_ROWS, pass_rows: int = PASS_ROWS) -> DataFrame:
+    """The recurrence over levels, season openings in between. A level of more than ``level_rows`` contests is one join and one
+    aggregation; successive smaller ones, up to as many contests together, are one step in which a task plays a league's.
 
     A state row holds a team's rating before its latest day and that day's change so far. Each step writes the state after it
     into its own directory of one table, which is what the next step reads; rows that begin a day are the result."""
     spark = log.sparkSession
-    games = contest_levels(log.where("step = 1").drop("step", "kind"))
+    games = contest_levels(log.where("step = 1").drop("step", "kind"), pass_rows)
     roster = log.where("step = 0").select("league", "season_idx", F.col("home").alias("team"), "kind", "season_shrink", "promoted_delta", "initial_rating")
-    depth = {r["season_idx"]: r["d"] for r in games.groupBy("season_idx").agg(F.max("level").alias("d")).collect()}
+    sizes: dict[int, list] = {}
+    for r in games.groupBy("season_idx", "level").agg(F.count("*").alias("n")).collect():
+        sizes.setdefault(r["season_idx"], []).append((r["level"], r["n"]))
     path, done = fresh_path(spark, "rating-states"), 0
     state = spark.createDataFrame([], _STATE)
 
@@ -194,22 +284,31 @@ def _by_levels(log: DataFrame) -> DataFrame:
         nonlocal done
         done += 1
         step = f"{path}/step={done}"
-        df.select(*[c.split()[0] for c in _STATE.split(", ")]).write.parquet(step)
-        return spark.read.schema(_STATE).parquet(step)
+        df.select(*_STATE_COLUMNS).write.parquet(step)
+        return spark.read.schema(_STATE).parquet(step).where("last")
 
     now = (F.col("base") + F.col("change")).alias("now")
-    for season in sorted(depth):
+    for season in sorted(sizes):
         start = F.col("initial_rating")
         opening = roster.where(F.col("season_idx") == season).join(state.select("league", "team", now), ["league", "team"], "left").withColumn(
             "base", F.when(F.col("kind") == 0, start).when(F.col("kind") == 1, start + F.col("promoted_delta")).otherwise(start + F.col("season_shrink") * (F.col("now") - start)))
         mean = opening.groupBy("league").agg(F.avg("base").alias("mean"))
         opened = opening.join(mean, "league").select(
             "league", "team", (F.col("base") + start - F.col("mean")).alias("base"), F.lit(None).cast("date").alias("day"), F.lit(0.0).alias("change"),
-            F.col("season_idx").cast("int").alias("season_idx"), F.lit(False).alias("fresh"))
+            F.col("season_idx").cast("int").alias("season_idx"), F.lit(False).alias("fresh"), F.lit(True).alias("last"))
         resting = state.join(opened.select("league", "team"), ["league", "team"], "left_anti").withColumn("fresh", F.lit(False))
         state = store(resting.unionByName(opened))
-        for level in range(1, depth[season] + 1):
-            g = games.where((F.col("season_idx") == season) & (F.col("level") == level))
+        for first, final, small in _blocks(sizes[season], level_rows):
+            g = games.where((F.col("season_idx") == season) & F.col("level").between(first, final))
+            if small:
+                playing = g.select("league", F.explode(F.array("home", "away")).alias("team")).distinct().withColumn("plays", F.lit(True))
+                known = state.join(playing, ["league", "team"], "left")
+                entering = known.where("plays").select("league", "season_idx", F.lit(0).alias("level"), "day", F.col("team").alias("home"), "base", "change")
+                contests = g.withColumnRenamed("match_date", "day").unionByName(entering, allowMissingColumns=True)
+                ordered = contests.repartition("league").sortWithinPartitions("league", "level")
+                played = ordered.groupBy("league").applyInArrow(_block_pass, _STATE)
+                state = store(known.where("plays IS NULL").withColumn("fresh", F.lit(False)).drop("plays").unionByName(played))
+                continue
             before = F.when(F.col("day") == F.col("match_date"), F.col("base")).otherwise(F.col("base") + F.col("change"))
             side = lambda name: state.select("league", F.col("team").alias(name), "base", "day", "change")
             rated = g.join(side("home"), ["league", "home"]).withColumn("h_elo", before).drop("base", "day", "change")
@@ -223,13 +322,13 @@ def _by_levels(log: DataFrame) -> DataFrame:
             state = store(state.drop("fresh").join(moved, ["league", "team"], "left").select(
                 "league", "team", F.when(begins, F.col("base") + F.col("change")).otherwise(F.col("base")).alias("base"),
                 F.when(begins, F.col("match_date")).otherwise(F.col("day")).alias("day"), F.when(begins, F.col("moved")).otherwise(F.col("change") + more).alias("change"),
-                F.when(begins, F.lit(season)).otherwise(F.col("season_idx")).cast("int").alias("season_idx"), begins.alias("fresh")))
+                F.when(begins, F.lit(season)).otherwise(F.col("season_idx")).cast("int").alias("season_idx"), begins.alias("fresh"), F.lit(True).alias("last")))
     if not done:
         return spark.createDataFrame([], RATING_SCHEMA)
     return spark.read.schema(_STATE + ", step int").parquet(path).where("fresh").select("league", "season_idx", F.col("day").alias("match_date"), "team", F.col("base").alias("elo"))
 
 
-def ratings_by_levels(matches: DataFrame, schedule: DataFrame) -> DataFrame:
-    """As :func:`ratings`, without a pass: no task holds more than its share of a level, and the number of steps is that of the
-    levels, not of the days."""
-    return _by_levels(written(rating_events(matches, schedule), "rating-log"))
+def ratings_by_levels(matches: DataFrame, schedule: DataFrame, level_rows: int = LEVEL_ROWS) -> DataFrame:
+    """As :func:`ratings`, without a pass over a league: no task plays more than ``level_rows`` contests, or its share of a level,
+    and the number of steps is at most that of the levels, not of the days."""
+    return _by_levels(written(rating_events(matches, schedule), "rating-log"), level_rows)
