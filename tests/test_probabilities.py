@@ -169,3 +169,24 @@ def test_explanation_adds_up(spark):
         if zero is not None:
             assert a["sensitivity"]["home"] == pytest.approx(r["p_home"] - zero["p_home"], abs=1e-9)
     assert math.isclose(sum(model.means), sum(model.means))
+
+
+def test_meta_validation_reads_the_merge_once(spark, monkeypatch):
+    """The candidates, the verdicts and the last refit take the merged rows from where they were written."""
+    from touchline.plans import calibration
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(p):
+        seen.add(1)
+        return p
+
+    rows = spark.createDataFrame(
+        [(season * 100 + i, 0, season, season - 1998, "2000-01-01", 0 if i % 5 < 3 else 1 + i % 2, 0.9, 0.06, 0.04, 0.3, 0.3, 0.4) for season in (1999, 2000, 2001) for i in range(90)],
+        ["match_id", "league", "season", "fold", "match_date", "y", *calibrate.TRIO, *calibrate.DC])
+    rows = rows.withColumn("y", F.col("y").cast("int")).withColumn("p_home_trio", counted("p_home_trio"))
+    monkeypatch.setattr(calibration, "merged", lambda spark, sf: rows)
+    got = calibration.meta_validation(spark, "").collect()
+    assert len(got) == 3 and got[0]["selected"] != calibrate.INCUMBENT and got[0]["final_temperature"] > 1
+    assert seen.value == 270
