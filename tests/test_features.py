@@ -155,6 +155,7 @@ def test_levels_share_steps(make_matches, monkeypatch):
 
 def test_levels_by_pass_and_by_steps(make_matches):
     m = random_league(make_matches, n_seasons=1).where("match_date < date_add(make_date(season, 1, 1), 12)")
+    m = m.unionByName(m.where("match_id = 0").withColumn("away", F.col("home")))  # a side against itself
     pairs = elo.pair_days(seasons.with_season_index(m))
     rows = lambda df: sorted(tuple(r) for r in df.select("league", "season_idx", "match_date", "home", "away", "level").collect())
     assert rows(elo.contest_levels(pairs)) == rows(elo.contest_levels(pairs, pass_rows=1))

@@ -190,7 +190,8 @@ def contest_levels(pairs: DataFrame, pass_rows: int = PASS_ROWS) -> DataFrame:
     if (longest or 0) <= pass_rows:
         ordered = pairs.repartition("league", "season_idx").sortWithinPartitions("league", "season_idx", "match_date")
         passed = ordered.groupBy("league", "season_idx").applyInArrow(_level_pass, pairs.withColumn("level", F.lit(None).cast("int")).schema)
-        _write_levels(passed, path)
+        # as the steps tell it: once for each side that is the home side
+        _write_levels(passed.withColumn("_side", F.explode(F.array("home", "away"))).where("_side = home").drop("_side"), path)
         return table()
     sides = pairs.withColumn("team", F.explode(F.array("home", "away"))).withColumn("level", F.lit(None).cast("int"))
     schema, k = sides.schema, 0
