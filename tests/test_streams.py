@@ -113,3 +113,69 @@ def test_late_events_are_kept_apart(spark, tmp_path):
     split_late(source, "at", str(tmp_path / "out"), str(tmp_path / "cp"), "1 hour")
     read = lambda t: sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out/{t}").collect())
     assert read("late") == [4, 7] and read("on_time") == [1, 2, 3, 5, 6]
+
+
+class _Kept:
+    """A state that counts how often it is asked."""
+
+    def __init__(self, calls):
+        self.calls, self.held = calls, None
+
+    def get(self):
+        self.calls.append("get")
+        return iter(self.held or []) if isinstance(self.held, list) or self.held is None and self.many else self.held
+
+    def exists(self):
+        self.calls.append("exists")
+        return self.held is not None
+
+    def put(self, values):
+        self.calls.append("put")
+        self.held = list(values)
+
+    update = lambda self, value: (self.calls.append("update"), setattr(self, "held", value))
+    clear = lambda self: (self.calls.append("clear"), setattr(self, "held", None))
+    appendList = lambda self, values: (self.calls.append("append"), setattr(self, "held", [*(self.held or []), *values]))
+
+
+class _Handle:
+    def __init__(self, calls):
+        self.calls = calls
+
+    def _of(self, many):
+        kept = _Kept(self.calls)
+        kept.many = many
+        return kept
+
+    getValueState = lambda self, *_: self._of(False)
+    getListState = lambda self, *_: self._of(True)
+    registerTimer = lambda self, _: self.calls.append("timer")
+
+
+class _Now:
+    def __init__(self, ms):
+        self.ms = ms
+
+    def getCurrentWatermarkInMs(self):
+        return self.ms
+
+
+def test_a_team_asks_its_state_a_few_times_a_batch():
+    """However many rows come; of rows that come again the last one holds."""
+    from pyspark.sql import Row
+
+    calls, keep = [], 3650 * form.DAY_MS
+    processor = form.FormProcessor(keep, 5.0, 3, 10, 30, 50)
+    processor.init(_Handle(calls))
+    day = lambda k: dt.datetime(2020, 1, 1, tzinfo=dt.timezone.utc) + dt.timedelta(days=k)
+    stats = lambda g: dict.fromkeys(form.METRICS, 1) | {"gf": g}
+    rows = [Row(league=0, team=1, season_idx=0, home=1, away=k, match_id=k, match_date=day(k).date(), seen_at=day(k), asks=False, **stats(1)) for k in range(300)]
+    again = Row(**rows[299].asDict() | stats(9))
+    first = list(processor.handleInputRows((0, 1), iter([*rows, again]), _Now(int(day(200).timestamp() * 1000) - keep)))
+    assert [r.match_date for r in first] == [day(k).date() for k in range(200)] and len(calls) < 10
+    calls.clear()
+    rest = list(processor.handleExpiredTimer((0, 1), _Now(int(day(400).timestamp() * 1000) - keep), None))
+    assert len(rest) == 100 and rest[-1].prior_matches_all_time == 299 and len(calls) < 10
+    late = list(processor.handleInputRows((0, 1), iter(rows[7:8]), _Now(int(day(400).timestamp() * 1000) - keep)))
+    assert [(r.kind, r.match_id, r.match_date) for r in late] == [("late", 7, day(7).date())]
+    assert processor.value.held is not None and processor.recent.held[-1][2] == 9.0
