@@ -220,3 +220,21 @@ def test_names_of_neither_side(spark):
     # no nested loop gives each entry a column of all clubs: the map is joined under a condition
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Cross" not in plan
+
+
+def test_a_club_registry_beyond_a_broadcast(spark, monkeypatch):
+    """Snapshots are the same whether clubs are sent to the entries or both are dealt out by name; nothing is refused."""
+    from touchline.sources.provider_json import LIVE_SCHEMA
+
+    aliases = spark.createDataFrame([(f"c{i}", f"id{i // 2}") for i in range(24)], "alias string, canonical_id string")
+    names = {1: ("C0", "C2", ["C1", "C2"]), 2: ("C4", None, ["C6", "nobody", None, "C6"]), 3: ("C0", "", ["C9", "C8", "C5", "C7", "nobody", "C0", "C11"]), 4: ("nobody", "C2", None), 5: ("C3", "C1", ["nobody"]), 6: (None, None, ["C9", "C8"])}
+    rows = [{"fixture": {"id": k}, "teams": {"home": {"name": h}, "away": {"name": a}}, "events": n and [{"team": {"name": x}} for x in n],
+             "lineups": [{"team": {"name": a}, "formation": "4-4-2"}, {"team": {"name": "C10"}}]} for k, (h, a, n) in names.items()]
+    entries = spark.createDataFrame([*rows, rows[1]], LIVE_SCHEMA)
+    told = []
+    for bound in (live.BROADCAST_ROW_BOUND, 5):
+        monkeypatch.setattr(live, "BROADCAST_ROW_BOUND", bound)
+        got = live.parse_snapshots(entries, aliases, "2024_25")
+        assert ("Broadcast" in got._jdf.queryExecution().executedPlan().toString()) == (bound > 5)
+        told.append(sorted(map(str, got.collect())))
+    assert told[0] == told[1] and len(told[0]) == 7
