@@ -179,3 +179,6 @@ def test_a_team_asks_its_state_a_few_times_a_batch():
     late = list(processor.handleInputRows((0, 1), iter(rows[7:8]), _Now(int(day(400).timestamp() * 1000) - keep)))
     assert [(r.kind, r.match_id, r.match_date) for r in late] == [("late", 7, day(7).date())]
     assert processor.value.held is not None and processor.recent.held[-1][2] == 9.0
+    odd = [Row(**rows[0].asDict() | {"match_id": 900 + k, "match_date": day(401 + k).date(), "seen_at": day(401 + k), "gf": None if k == 0 else 1}) for k in range(2)]
+    unknown = list(processor.handleInputRows((0, 1), iter(odd), _Now(int(day(500).timestamp() * 1000) - keep)))
+    assert [(r.ewma_gf is None, r.std_gd is None, r.ewma_ga is None) for r in unknown] == [(False, False, False), (True, True, False)]
